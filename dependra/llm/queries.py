@@ -1,10 +1,17 @@
 """The queries of this subpackage, and SQL for those that SQL can express."""
 
-from dependra.llm import language, quality
+from dependra.llm import chat, language, lines, mixing, quality
 
 QUERIES = {
     "op1_language": language.op1_language,
+    "op4_chat": chat.op4_chat,
+    "op6_lines": lines.op6_lines,
+    "op8_mixing": mixing.op8_mixing,
     "op10_quality": quality.op10_quality,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op4_chat": chat.OP4_SQL,
+    "op6_lines": lines.OP6_SQL,
+    "op8_mixing": mixing.OP8_SQL,
+}
