@@ -1,17 +1,20 @@
 """The queries of this subpackage, and SQL for those that SQL can express."""
 
-from dependra.llm import chat, language, lines, mixing, quality
+from dependra.llm import chat, decontaminate, language, lines, mixing, quality, urls
 
 QUERIES = {
     "op1_language": language.op1_language,
     "op4_chat": chat.op4_chat,
+    "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_lines": lines.op6_lines,
+    "op7_urls": urls.op7_urls,
     "op8_mixing": mixing.op8_mixing,
     "op10_quality": quality.op10_quality,
 }
 
 ORACLES = {
     "op4_chat": chat.OP4_SQL,
+    "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_lines": lines.OP6_SQL,
     "op8_mixing": mixing.OP8_SQL,
 }
