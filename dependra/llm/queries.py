@@ -1,9 +1,10 @@
 """The queries of this subpackage, and SQL for those that SQL can express."""
 
-from dependra.llm import chat, decontaminate, language, lines, mixing, quality, urls
+from dependra.llm import chat, decontaminate, language, lines, mixing, neardup, quality, urls
 
 QUERIES = {
     "op1_language": language.op1_language,
+    "op3_neardup": neardup.op3_neardup,
     "op4_chat": chat.op4_chat,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_lines": lines.op6_lines,
