@@ -39,6 +39,13 @@ class Scratch:
         df.write.mode("overwrite").parquet(f"{self.root}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
+    def collect_garbage(self) -> None:
+        """Lets Spark delete the shuffle files of plans whose results have been written."""
+        import gc
+
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, name: str | None = None) -> None:
         """Removes one table, or all of them."""
         try:

@@ -1,6 +1,6 @@
 """The queries of this subpackage, and SQL for those that SQL can express."""
 
-from dependra.llm import chat, decontaminate, language, lines, mixing, neardup, quality, urls
+from dependra.llm import chat, decontaminate, language, lines, mixing, neardup, quality, substrings, urls
 
 QUERIES = {
     "op1_language": language.op1_language,
@@ -10,6 +10,7 @@ QUERIES = {
     "op6_lines": lines.op6_lines,
     "op7_urls": urls.op7_urls,
     "op8_mixing": mixing.op8_mixing,
+    "op9_substrings": substrings.op9_substrings,
     "op10_quality": quality.op10_quality,
 }
 
