@@ -39,9 +39,13 @@ class Rolling:
     """Polynomial hashes mod 2**64 of all substrings of one length."""
 
     def __init__(self, most: int):
-        with np.errstate(over="ignore"):
-            self.up = np.cumprod(np.concatenate([[1], np.full(most, _ODD, np.uint64)]).astype(np.uint64))
-            self.down = np.cumprod(np.concatenate([[1], np.full(most, pow(_ODD, -1, 2**64), np.uint64)]).astype(np.uint64))
+        def powers(base: int) -> np.ndarray:
+            factors = np.full(most + 1, base, np.uint64)
+            factors[0] = 1
+            with np.errstate(over="ignore"):
+                return np.cumprod(factors, dtype=np.uint64)
+
+        self.up, self.down = powers(_ODD), powers(pow(_ODD, -1, 2**64))
 
     def sums(self, data: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
