@@ -8,8 +8,8 @@ rule out are confirmed on their full sets, rebuilt from the whole texts.
 
 Documents with equal sets make one class, by a map-side aggregation; only classes go on. The members of a band's bucket
 are first linked with the bucket's smallest, which is linear. Then buckets that still hold more than one component
-have all their pairs between components compared in blocks, sketch against sketch within a task, and only the
-few pairs that pass leave it. So every candidate pair is either inside one component already or confirmed. Nothing is capped.
+have all their pairs between components compared in blocks within a task, and only links leave it. So every candidate
+pair is either inside one component already or confirmed. Nothing is capped.
 
 With 32 bands of 4 registers a pair at the threshold of 0.8 is missed with a chance below 1e-7.
 
@@ -118,8 +118,7 @@ def _bands(classes: DataFrame) -> DataFrame:
 
 
 def _verified(scratch: Scratch, name: str, pairs: DataFrame, classes: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
-    """Those of pairs (a, b) whose sets are similar: first by the sketches, then by the full sets. Only the texts of
-    what is left are shuffled for that."""
+    """Those of pairs (a, b) whose sets are similar: first by the sketches, then by the full sets."""
     percent = round(similarity * 100)
     c = classes.select("rep", "n", "sketch")
     pairs = pairs.join(c.selectExpr("rep a", "n na", "sketch sa"), "a").where("na > 0").join(c.selectExpr("rep b", "n nb", "sketch sb"), "b").select("a", "b", "na", "nb", "sa", "sb")
@@ -149,12 +148,10 @@ def _verified(scratch: Scratch, name: str, pairs: DataFrame, classes: DataFrame,
                 ok.append(100 * common >= percent * (len(sa) + len(sb) - common))
             yield pa.RecordBatch.from_arrays([t.column("a"), t.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    pairs = scratch.save(pairs.mapInArrow(rough, "a long, b long"), f"{name}_rough")
-    ids = pairs.selectExpr("a id").unionAll(pairs.selectExpr("b id")).distinct()
-    few = scratch.save(texts.join(ids, F.expr("doc_id = id"), "left_semi"), f"{name}_texts")
-    held = pairs.join(few.selectExpr("doc_id a", "text ta"), "a").join(few.selectExpr("doc_id b", "text tb"), "b").select("a", "b", "ta", "tb")
+    pairs = pairs.mapInArrow(rough, "a long, b long")
+    held = pairs.join(texts.selectExpr("doc_id a", "text ta"), "a").join(texts.selectExpr("doc_id b", "text tb"), "b").select("a", "b", "ta", "tb")
     out = scratch.save(held.mapInArrow(exact, "a long, b long"), name)
-    scratch.drop(f"{name}_texts")
+    scratch.collect_garbage()
     return out
 
 
@@ -178,33 +175,71 @@ def grouped(batches, keys: list[str]):
         yield rest
 
 
-def _across(buckets: DataFrame, classes: DataFrame, similarity: float, block: int = 256) -> DataFrame:
-    """Pairs (a, b) of different components within buckets (rep, comp, bucket, n) that the sketches can't rule out.
+def _across(buckets: DataFrame, classes: DataFrame, texts: DataFrame, size: int, similarity: float, block: int = 256) -> DataFrame:
+    """Links (a, b) between different components within buckets (rep, comp, bucket), all but for the last check.
 
-    A bucket's members are dealt into blocks, and every pair of blocks is a task's piece of work.
+    The members of a bucket's largest component and the others are dealt into blocks; every pair of blocks with others
+    in it is one piece of a task's work. A pair is looked at in the smallest bucket that it shares: the
+    sketches are compared first, then the sets, cut to 32 bits a shingle, with an allowance for that. As soon as two components
+    are linked, their other pairs are left out, so a piece emits fewer rows than it has components.
     """
-    nb = f"cast(ceil(n / {block}) as int)"
-    rows = buckets.selectExpr("rep", "comp", "bucket", f"{nb} nb", f"cast(pmod(xxhash64(rep), {nb}) as int) blk")
-    rows = rows.selectExpr("rep", "comp", "bucket", "blk", "explode(sequence(0, nb - 1)) other")
-    rows = rows.selectExpr("rep", "comp", "bucket", "blk", "least(blk, other) i", "greatest(blk, other) j")
-    rows = rows.join(classes.selectExpr("rep r2", "n size", "sketch"), F.expr("rep = r2")).select("rep", "comp", "bucket", "blk", "i", "j", "size", "sketch")
+    counts = buckets.groupBy("bucket", "comp").agg(F.count("*").alias("k"), F.expr("bit_xor(xxhash64(rep))").alias("who"))
+    open_ = counts.groupBy("bucket").agg(F.sum("k").alias("n"), F.max(F.struct("k", "comp")).alias("m"), F.expr("bit_xor(who)").alias("who"), F.count("*").alias("comps")).where("comps > 1")
+    # Buckets with the same members need one look: at the smallest.
+    open_ = open_.groupBy("who", "n", "m").agg(F.min("bucket").alias("bucket"))
+    open_ = open_.selectExpr("bucket", "m.comp most", f"cast(ceil(m.k / {block}) as int) na", f"cast(ceil((n - m.k) / {block}) as int) nb")
+    rows = buckets.join(open_, "bucket").withColumn("main", F.expr("comp = most")).withColumn("blk", F.expr("cast(pmod(xxhash64(rep), if(main, na, nb)) as int)"))
+    rows = rows.withColumn("at", F.expr("""explode(if(main, transform(sequence(0, nb - 1), o -> named_struct('kind', 0, 'i', blk, 'j', o)),
+        concat(transform(sequence(0, na - 1), o -> named_struct('kind', 0, 'i', o, 'j', blk)), transform(sequence(0, nb - 1), o -> named_struct('kind', 1, 'i', least(blk, o), 'j', greatest(blk, o))))))"""))
+    rows = rows.select("rep", "comp", "bucket", "main", "blk", "at.*")
+
+    def compact(batches):
+        hashes = WordHashes()
+        for b in slices(batches):
+            sets = [np.unique((shingles(hashes.of(words(t)), size) >> np.uint64(32)).astype(np.uint32)) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([x.tobytes() for x in sets], pa.binary())], names=["r3", "short"])
+
+    few = texts.join(rows.select("rep").distinct(), F.expr("doc_id = rep"), "left_semi").select("doc_id", "text").mapInArrow(compact, "r3 long, short binary")
+    rows = rows.join(classes.selectExpr("rep r2", "n size", "sketch"), F.expr("rep = r2")).join(few, F.expr("rep = r3"))
+    rows = rows.select("bucket", "kind", "i", "j", "rep", "comp", "main", "blk", "size", "sketch", "short")
+    seeds = mix(np.arange(1, BANDS + 1).astype(np.uint64))
 
     def run(batches):
-        for g in grouped(batches, ["bucket", "i", "j"]):
+        for g in grouped(batches, ["bucket", "kind", "i", "j"]):
             k = g.num_rows
+            bucket, kind, i, j = (g.column(c)[0].as_py() for c in ("bucket", "kind", "i", "j"))
             rep, comp, blk, n = (g.column(c).to_numpy() for c in ("rep", "comp", "blk", "size"))
-            s = np.frombuffer(b"".join(g.column("sketch").to_pylist()), np.uint16).reshape(k, -1)
-            cross = g.column("i")[0].as_py() != g.column("j")[0].as_py()
+            main = np.array(g.column("main").to_pylist(), bool)
+            short = g.column("short").to_pylist()
+            raw = b"".join(g.column("sketch").to_pylist())
+            s = np.frombuffer(raw, np.uint16).reshape(k, -1)
+            keys = mix(np.frombuffer(raw, np.uint64).reshape(k, BANDS) ^ seeds).view(np.int64)
+            label, out = comp.copy(), []
             for x in range(k):
-                y = np.flatnonzero((comp != comp[x]) & ((blk > blk[x]) if cross else (rep > rep[x])))
-                # The exact bound by sizes before the sketches.
+                if kind == 0 and main[x]:
+                    continue
+                ok = label != label[x]
+                ok &= main if kind == 0 else ((blk > blk[x]) if i != j else (rep > rep[x]))
+                y = np.flatnonzero(ok)
+                # The exact bound by sizes, then the bucket that has the pair, then the sketches.
                 y = y[np.minimum(n[y], n[x]) >= similarity * np.maximum(n[y], n[x]) - 1e-9]
+                y = y[np.where(keys[y] == keys[x], keys[y], np.iinfo(np.int64).max).min(axis=1, initial=np.iinfo(np.int64).max) == bucket]
+                y = y[(s[y] == s[x]).sum(axis=1) >= 0.45 * s.shape[1]]
                 if len(y):
                     y = y[plausible(np.broadcast_to(s[x], (len(y), s.shape[1])), s[y], np.full(len(y), n[x]), n[y], similarity)]
-                if len(y):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(rep[y], rep[x])), pa.array(np.maximum(rep[y], rep[x]))], names=["a", "b"])
-
-    dealt = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+                mine = np.frombuffer(short[x], np.uint32) if len(y) else None
+                for z in y.tolist():
+                    if label[z] == label[x]:
+                        continue
+                    other = np.frombuffer(short[z], np.uint32)
+                    both = len(np.intersect1d(mine, other, assume_unique=True)) + 2 + n[x] * n[z] / 2**32
+                    if both >= similarity * (n[x] + n[z] - both):
+                        out.append((min(rep[x], rep[z]), max(rep[x], rep[z])))
+                        label[label == label[z]] = label[x]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([int(p[q]) for p in out], pa.int64()) for q in (0, 1)], names=["a", "b"])
+
+    dealt = rows.repartition("bucket", "kind", "i", "j").sortWithinPartitions("bucket", "kind", "i", "j")
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -223,16 +258,17 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, size: int = 5, similarity
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.min("rep").alias("low")).where("n > 1")
     shared = scratch.save(buckets.join(shared, "bucket"), "shared")
     scratch.drop("bands")
-    texts = docs.where("doc_id is not null")
+    # The texts of all that shares a bucket: what the confirmations read.
+    some = shared.selectExpr("rep id").distinct()
+    texts = scratch.save(docs.where("doc_id is not null").join(some, F.expr("doc_id = id"), "left_semi"), "texts")
+    scratch.collect_garbage()
     star = shared.where("rep <> low").selectExpr("low a", "rep b").distinct()
     links = _verified(scratch, "links", star, classes, texts, size, similarity)
     nodes = classes.selectExpr("rep id")
     comps = scratch.save(component_labels(scratch, nodes, links, "cc1"), "comps1")
-    held = shared.join(comps.selectExpr("id rep", "component comp"), "rep").select("rep", "comp", "bucket", "n")
-    open_ = held.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.expr("bit_xor(xxhash64(rep))").alias("who"), F.count("*").alias("k")).where("lo <> hi")
-    # Buckets with the same members need one look.
-    open_ = open_.groupBy("who", "k", "lo").agg(F.min("bucket").alias("bucket")).select("bucket")
-    across = _across(held.join(open_, "bucket"), classes, similarity)
+    held = scratch.save(shared.join(comps.selectExpr("id rep", "component comp"), "rep").select("rep", "comp", "bucket"), "held")
+    across = scratch.save(_across(held, classes, texts, size, similarity), "across")
+    scratch.collect_garbage()
     more = _verified(scratch, "more", across, classes, texts, size, similarity)
     if more.limit(1).count():
         comps = scratch.save(component_labels(scratch, nodes, links.unionAll(more), "cc2"), "comps2")
