@@ -1,9 +1,10 @@
 """The queries of this subpackage, and SQL for those that SQL can express."""
 
-from dependra.llm import chat, decontaminate, language, lines, mixing, neardup, quality, substrings, urls
+from dependra.llm import chat, decontaminate, language, lines, mixing, neardup, neighbours, quality, substrings, urls
 
 QUERIES = {
     "op1_language": language.op1_language,
+    "op2_neighbours": neighbours.op2_neighbours,
     "op3_neardup": neardup.op3_neardup,
     "op4_chat": chat.op4_chat,
     "op5_decontaminate": decontaminate.op5_decontaminate,
