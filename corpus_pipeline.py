@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from dependra.llm.common import Scratch, table
+from dependra.llm.decontaminate import leak_stage
+from dependra.llm.lines import line_stage
+from dependra.llm.mixing import mixing_stage
+from dependra.llm.neardup import neardup_stage
 from dependra.llm.quality import quality_stage
 
 STAGES = [
     ("quality", quality_stage),
+    ("lines", line_stage),
+    ("near_duplicates", neardup_stage),
+    ("decontamination", leak_stage),
+    ("mixing", mixing_stage),
 ]
 
 #: No SQL has zstandard: tests hold the stages against brute-force versions.
