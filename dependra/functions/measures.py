@@ -86,10 +86,15 @@ def measure(name: str, table: Table | None = None) -> Column:
     return MEASURES[name](table or Table()).alias(name)
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """Rounded, without a negative zero."""
+    return F.round(x, digits) + F.lit(0.0)
+
+
 def with_measures(df, names=("one_sided_log_likelihood", "t_score", "dice"), digits: int | None = None, short: bool = True):
     """df with the measures of its columns o11, r1, c1, n; short: one_sided_log_likelihood is named log_likelihood."""
     t = Table()
     for name in names:
         x = MEASURES[name](t)
-        df = df.withColumn("log_likelihood" if short and name == "one_sided_log_likelihood" else name, x if digits is None else F.round(x, digits))
+        df = df.withColumn("log_likelihood" if short and name == "one_sided_log_likelihood" else name, x if digits is None else rounded(x, digits))
     return df

@@ -42,13 +42,39 @@ def ego_edges(corpus: Corpus) -> DataFrame:
     return inner.groupBy("sentence_id", F.col("v").alias("position")).agg(F.count("*").alias("edges"))
 
 
+def is_sensible(tokens: list[dict], deps: list[dict]) -> bool:
+    """One root, which reaches every token; out-degrees and edges within neighbourhoods within their bounds."""
+    roots = [t["position"] for t in tokens if t["root"]]
+    if len(roots) != 1:
+        return False
+    out: dict[int, set] = {}
+    near: dict[int, set] = {}
+    for d in deps:
+        out.setdefault(d["governor"], set()).add(d["dependent"])
+        for a, b in ((d["governor"], d["dependent"]), (d["dependent"], d["governor"])):
+            near.setdefault(a, {a}).add(b)
+    seen, todo = set(roots), roots
+    while todo:
+        new = out.get(todo.pop(), set()) - seen
+        seen |= new
+        todo += new
+    if len(seen) != len(tokens) or any(len(x) > MAX_OUTDEGREE for x in out.values()):
+        return False
+    # A neighbourhood can only be too dense if the sentence has so many edges.
+    return len(deps) <= MAX_EGO_EDGES or all(sum(len(out.get(v, set()) & own) for v in own) <= MAX_EGO_EDGES for own in near.values())
+
+
 def sensible_sentences(corpus: Corpus) -> DataFrame:
-    """sentence_id of admitted sentences: one root, which reaches all; out-degrees and neighbourhoods within their bounds."""
-    t = corpus.tokens.groupBy("sentence_id").agg(F.count("*").alias("n"), F.expr("count_if(root)").alias("roots"), F.max("outdegree").alias("out"))
-    t = t.where((F.col("roots") == 1) & (F.col("out") <= MAX_OUTDEGREE))
-    reach = reachable(corpus).groupBy("sentence_id").agg(F.count("*").alias("reached"))
-    dense = ego_edges(corpus).where(F.col("edges") > MAX_EGO_EDGES).select("sentence_id").distinct()
-    return t.join(reach, "sentence_id").where("reached = n").join(dense, "sentence_id", "left_anti").select("sentence_id")
+    """sentence_id of admitted sentences: each sentence is looked at once, where it lies, in Arrow batches."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            rows = zip(b.column("tokens").to_pylist(), b.column("dependencies").to_pylist())
+            yield pa.RecordBatch.from_arrays([b.column("sentence_id").filter(pa.array([is_sensible(t, d) for t, d in rows], pa.bool_()))], names=["sentence_id"])
+
+    return corpus.graphs().mapInArrow(run, "sentence_id long")
 
 
 def admitted(corpus: Corpus) -> Corpus:

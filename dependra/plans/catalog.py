@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from dependra.functions import tags
-from dependra.functions.measures import MEASURES, Table
+from dependra.functions.measures import MEASURES, Table, rounded
 from dependra.operators import collexemes as col
 from dependra.operators import counting as cnt
 from dependra.operators import graphs, structures
@@ -75,7 +75,7 @@ MEASURE_SQL = {
 
 def _measured(rows: str, keys: str, extra: str = "") -> str:
     """SQL: keys, the frequencies and the three usual measures of a table with doubles o11, r1, c1, n."""
-    ll, ts, di = (f"round({MEASURE_SQL[m]}, {_R})" for m in ("one_sided_log_likelihood", "t_score", "dice"))
+    ll, ts, di = (f"round({MEASURE_SQL[m]}, {_R}) + 0::double" for m in ("one_sided_log_likelihood", "t_score", "dice"))
     return f"select {keys}, o11::bigint o11, R1 r1, C1 c1, n::bigint n{extra}, {ll} log_likelihood, {ts} t_score, {di} dice from ({_CELLS} from ({rows}))"
 
 
@@ -130,7 +130,7 @@ def _near(corpus):
 def _measure_query(name):
     def run(spark, sf_dir):
         rows = col.collexemes(treebank(spark, sf_dir), COLLEXEME).select("lemma", "o11", "r1", "c1", "n")
-        return rows.select("lemma", F.round(MEASURES[name](Table()), _R).alias(name))
+        return rows.select("lemma", rounded(MEASURES[name](Table()), _R).alias(name))
 
     return run
 
@@ -339,5 +339,5 @@ select 'log_likelihood' measure_1, 't_score' measure_2, round(corr(a, b), {_R})
     "int_bins": f"""{TREE}, z as (select sentence_id, count(*) size from t group by sentence_id), b as (select min(size) lo, max(size) hi from z),
 w as (select lo, hi, case when hi <= lo + 3 then 1 else ceil((hi - lo + 1) / 4.0) end width from b)
 select floor((size - lo) / width)::bigint bin, count(*) n from z, w group by all""",
-    **{f"measure_{m}": f"{TREE} select lemma, round({x}, {_R}) {m} from ({_CELLS} from ({_COLLEX_ROWS}))" for m, x in MEASURE_SQL.items()},
+    **{f"measure_{m}": f"{TREE} select lemma, round({x}, {_R}) + 0::double {m} from ({_CELLS} from ({_COLLEX_ROWS}))" for m, x in MEASURE_SQL.items()},
 }

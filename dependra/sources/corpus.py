@@ -7,6 +7,9 @@ import dataclasses
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Lets joins on sentence_id and more use a dealing by sentence_id alone; else Spark would shuffle both sides again.
+SUBSET_KEYS = "spark.sql.requireAllClusterKeysForCoPartition"
+
 TOKENS = "sentence_id long, position int, word string, pos string, lemma string, wc string, indegree int, outdegree int, root boolean"
 DEPENDENCIES = "sentence_id long, governor int, dependent int, relation string"
 
@@ -33,6 +36,7 @@ class Corpus:
 
     def persist(self, partitions: int | None = None) -> Corpus:
         """Kept, dealt by sentence_id: joins on sentence_id and more need no further shuffle."""
+        self.spark.conf.set(SUBSET_KEYS, "false")
         n = partitions or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         return Corpus(*(t.repartition(n, "sentence_id").persist() for t in (self.tokens, self.dependencies)))
 
@@ -44,6 +48,7 @@ class Corpus:
 
     @staticmethod
     def load(spark: SparkSession, name: str) -> Corpus:
+        spark.conf.set(SUBSET_KEYS, "false")
         return Corpus(spark.table(f"{name}_tokens"), spark.table(f"{name}_dependencies"))
 
     def write(self, path: str, mode: str = "errorifexists") -> None:
