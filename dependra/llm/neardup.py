@@ -175,13 +175,22 @@ def grouped(batches, keys: list[str]):
         yield rest
 
 
+def _slack(rate: float) -> int:
+    """How many of a Poisson number of accidental 32-bit matches at most, but for a chance of 1e-12."""
+    k, term = 0, rate
+    while term >= 1e-12:
+        k += 1
+        term *= rate / (k + 1)
+    return k
+
+
 def _across(buckets: DataFrame, classes: DataFrame, texts: DataFrame, size: int, similarity: float, block: int = 256) -> DataFrame:
     """Links (a, b) between different components within buckets (rep, comp, bucket), all but for the last check.
 
     The members of a bucket's largest component and the others are dealt into blocks; every pair of blocks with others
     in it is one piece of a task's work. A pair is looked at in the smallest bucket that it shares: the
     sketches are compared first, then the sets, cut to 32 bits a shingle, with an allowance for that. As soon as two components
-    are linked, their other pairs are left out, so a piece emits fewer rows than it has components.
+    are linked beyond doubt, their other pairs are left out.
     """
     counts = buckets.groupBy("bucket", "comp").agg(F.count("*").alias("k"), F.expr("bit_xor(xxhash64(rep))").alias("who"))
     open_ = counts.groupBy("bucket").agg(F.sum("k").alias("n"), F.max(F.struct("k", "comp")).alias("m"), F.expr("bit_xor(who)").alias("who"), F.count("*").alias("comps")).where("comps > 1")
@@ -232,10 +241,12 @@ def _across(buckets: DataFrame, classes: DataFrame, texts: DataFrame, size: int,
                     if label[z] == label[x]:
                         continue
                     other = np.frombuffer(short[z], np.uint32)
-                    both = len(np.intersect1d(mine, other, assume_unique=True)) + 2 + n[x] * n[z] / 2**32
-                    if both >= similarity * (n[x] + n[z] - both):
+                    both, slack = len(np.intersect1d(mine, other, assume_unique=True)), _slack(2 * float(n[x]) * float(n[z]) / 2**32)
+                    if both + slack >= similarity * (n[x] + n[z] - both - slack):
                         out.append((min(rep[x], rep[z]), max(rep[x], rep[z])))
-                        label[label == label[z]] = label[x]
+                        # Only what is beyond doubt stands in for other pairs.
+                        if both - slack >= similarity * (n[x] + n[z] - both + slack):
+                            label[label == label[z]] = label[x]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([int(p[q]) for p in out], pa.int64()) for q in (0, 1)], names=["a", "b"])
 
