@@ -58,12 +58,17 @@ def _totals(units: DataFrame) -> DataFrame:
     return sums.select("method", "o11", (F.col("a") - half).alias("r1"), (F.col("b") - half).alias("c1"), "n", "inconsistent")
 
 
-def association(corpus: Corpus, query: Association, digits: int | None = None) -> DataFrame:
-    """The association of the structures A and B: a row for each counting method, with measures."""
+def contingency_of(corpus: Corpus, query: Association) -> DataFrame:
+    """The contingency table of the structures A and B: a row for each counting method."""
     found = embeddings(corpus, query.n)
     for p, flag in ((query.c, "fc"), (query.a, "fa"), (query.b, "fb")):
         found = with_extension(corpus, found, query.n, p, flag)
-    return with_measures(contingency(found, columns(query.n), f"m{query.focus}"), digits=digits)
+    return contingency(found, columns(query.n), f"m{query.focus}")
+
+
+def association(corpus: Corpus, query: Association, digits: int | None = None) -> DataFrame:
+    """The association of the structures A and B: a row for each counting method, with measures."""
+    return with_measures(contingency_of(corpus, query), digits=digits)
 
 
 # Counts of earlier definitions, kept as operators of their own.

@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dependra.functions.measures import with_measures
-from dependra.operators.counting import METHODS, by_unit
-from dependra.plans.compiler import columns, embeddings, extend, vertex_tests
+from dependra.operators.counting import by_unit
+from dependra.plans.compiler import columns, embeddings, extend
 from dependra.plans.pattern import Pattern, canonical_order
 from dependra.sources.corpus import Corpus
 
@@ -213,5 +213,3 @@ def connected_subgraphs(corpus: Corpus, low: int, high: int, edges: int | None =
     out = out.where((F.size("vertices") >= low) & (F.size("vertices") <= high))
     return out.where(F.size("edges") == edges) if edges else out
 
-
-__all__ = ["METHODS", "larger_structures", "star_rows", "star_frequencies", "edge_to_skeleton", "connected_subgraphs", "delexicalize", "vertex_tests"]

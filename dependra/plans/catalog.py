@@ -8,7 +8,7 @@ from dependra.functions import tags
 from dependra.functions.measures import MEASURES, Table, rounded
 from dependra.operators import collexemes as col
 from dependra.operators import counting as cnt
-from dependra.operators import graphs, structures
+from dependra.operators import graphs, match, structures
 from dependra.plans import compiler
 from dependra.plans.pattern import Pattern, parse, split_association
 from dependra.sources import formats
@@ -204,6 +204,11 @@ def _conllu_lines(spark, sf_dir):
     return formats.conllu_corpus(formats.parse_conllu(formats.to_conllu(treebank(spark, sf_dir)))).dependencies
 
 
+def _compiled(spark, sf_dir):
+    bank = treebank(spark, sf_dir)
+    return spark.sql(match.pattern_sql(NEGATED, "{t}", "{d}"), t=bank.tokens, d=bank.dependencies)
+
+
 def _cwb_lines(spark, sf_dir):
     return formats.to_cwb(treebank(spark, sf_dir)).selectExpr("sentence_id", "position", "array_join(columns, '\t') line")
 
@@ -249,6 +254,13 @@ QUERIES = {
     "rooted_matches": _bank(lambda c: compiler.embeddings(c, TWO_AMOD).select("sentence_id", F.col("m0").alias("focus")).distinct()),
     "fixed_pair_count": _bank(lambda c: compiler.embeddings(c, TWO_AMOD).where("m0 = 0").groupBy("sentence_id").agg(F.count("*").alias("embeddings"))),
     "neighbourhood": _bank(_near),
+    "candidate_sets": _bank(lambda c: match.candidate_sets(c, NEGATED, consistent=False)),
+    "arc_consistency": _bank(lambda c: match.candidate_sets(c, OBJ)),
+    "folded_candidates": _bank(lambda c: match.folded(compiler.embeddings(c, TWO_AMOD), TWO_AMOD).selectExpr("sentence_id", "array_join(m0, ' ') m0", "array_join(m1, ' ') m1")),
+    "compiled_sql": _compiled,
+    "breadth_first": _bank(match.breadth_first),
+    "powerset": _bank(lambda c: match.subsets(c.dependencies.groupBy("sentence_id", "governor").agg(F.array_sort(F.collect_list("dependent")).alias("ds")), "ds", 2, 2).selectExpr("sentence_id", "governor", "subset[0] a", "subset[1] b")),
+    "contingency_cells": _bank(lambda c: col.collexemes(c, COLLEXEME).select("lemma", *[rounded(x, _R).alias(k) for k, x in Table().cells().items()])),
     "count_methods": _bank(lambda c: cnt.method_counts(c, TWO_AMOD, 0)),
     "legacy_subgraph_count": lambda s, d: cnt.edge_set_subgraphs(treebank(s, d), split_association(ASSOCIATION)),
     "legacy_choke_points": lambda s, d: cnt.choke_points(treebank(s, d), split_association(ASSOCIATION)),
@@ -307,6 +319,15 @@ select d.sentence_id, a.v as position, count(*) edges from d join e a on a.sente
     "neighbourhood": f"""{TREE}, e as (select distinct d.sentence_id, least(governor, dependent) x, greatest(governor, dependent) y from d join t a on a.sentence_id = d.sentence_id and a.position = governor join t b on b.sentence_id = d.sentence_id and b.position = dependent where a.wc = 'VERB' and b.wc = 'NOUN' and relation = 'obj'),
 z as (select e.*, unnest([governor, dependent]) v from e join d on d.sentence_id = e.sentence_id and (governor in (x, y) or dependent in (x, y)))
 select sentence_id, x || ' ' || y vertices, string_agg(distinct v::varchar, ' ' order by v) neighbourhood from (select sentence_id, x, y, v from z group by all) group by sentence_id, x, y""".replace("string_agg(distinct v::varchar, ' ' order by v)", "array_to_string(list_sort(list(distinct v)), ' ')"),
+    "candidate_sets": f"""{TREE} select sentence_id, 0 vertex, position from t where wc = 'VERB' and outdegree >= 1 and not exists (select 1 from d where d.sentence_id = t.sentence_id and governor = position and relation in ('iobj', 'obl'))
+  union all select sentence_id, 1, position from t where wc <> 'VERB' and indegree >= 1 and not exists (select 1 from d where d.sentence_id = t.sentence_id and dependent = position and relation = 'conj')""",
+    "arc_consistency": f"""{TREE}, m as (select d.sentence_id, governor m0, dependent m1 from d join t a on a.sentence_id = d.sentence_id and a.position = governor join t b on b.sentence_id = d.sentence_id and b.position = dependent where a.wc = 'VERB' and b.wc = 'NOUN' and relation = 'obj')
+select distinct sentence_id, 0 vertex, m0 as position from m union all select distinct sentence_id, 1, m1 from m""",
+    "folded_candidates": f"""{TREE}, m as (select x.sentence_id, x.governor m0, x.dependent m1 from d x join d y on y.sentence_id = x.sentence_id and y.governor = x.governor where x.relation = 'amod' and y.relation = 'amod' and x.dependent <> y.dependent)
+select sentence_id, array_to_string(list_sort(list(distinct m0)), ' ') m0, array_to_string(list_sort(list(distinct m1)), ' ') m1 from m group by sentence_id""",
+    "compiled_sql": f"{TREE} select d.sentence_id, governor m0, dependent m1 from d join t a on a.sentence_id = d.sentence_id and a.position = governor join t b on b.sentence_id = d.sentence_id and b.position = dependent where a.wc = 'VERB' and b.wc <> 'VERB' and relation = 'obj' and not exists (select 1 from d z where z.sentence_id = a.sentence_id and z.governor = a.position and z.relation in ('iobj', 'obl')) and not exists (select 1 from d z where z.sentence_id = b.sentence_id and z.dependent = b.position and z.relation = 'conj')",
+    "powerset": f"{TREE} select x.sentence_id, x.governor, x.dependent a, y.dependent b from d x join d y on y.sentence_id = x.sentence_id and y.governor = x.governor and x.dependent < y.dependent",
+    "contingency_cells": f"{TREE} select lemma, " + ", ".join(f"round({x}, {_R}) + 0::double {x}" for x in ("o11", "o12", "o21", "o22", "r1", "r2", "c1", "c2", "n", "e11", "e12", "e21", "e22")) + f" from ({_CELLS} from ({_COLLEX_ROWS}))",
     "count_methods": f"""{TREE}, m as (select x.sentence_id, x.governor m0, x.dependent m1, y.dependent m2 from d x join d y on y.sentence_id = x.sentence_id and y.governor = x.governor where x.relation = 'amod' and y.relation = 'amod' and x.dependent <> y.dependent)
 select 'embeddings' as method, count(*) n from m union all select 'subgraphs', count(distinct (sentence_id, list_sort([m0, m1, m2]))) from m union all select 'focus_points', count(distinct (sentence_id, m0)) from m union all select 'sentences', count(distinct sentence_id) from m""",
     "legacy_subgraph_count": _legacy_sql(_ASS_FLAGS, "m0", "subgraphs"),

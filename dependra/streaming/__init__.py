@@ -1 +1 @@
-
+"""Structured Streaming: ingest of treebank files and running counts."""
