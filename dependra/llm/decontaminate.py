@@ -12,7 +12,7 @@ The index is shipped to the executors. It is cut into shards of a bounded number
 passes, not a larger broadcast; document frequencies are those of the whole benchmark.
 
 Words are runs of letters and digits, lower-cased. Defined cases: null and empty texts, and texts or items without a word,
-match nothing; a part with fewer than 5 words is one shingle. Repeated items are each reported; rows with one doc_id are
+match nothing; a part with fewer than 5 words is one shingle. Repeated items are each reported, items with a null id by it; rows with one doc_id are
 reported as one document, by their best passage. Other columns are ignored, or pass through in the filter.
 """
 
@@ -151,7 +151,7 @@ def build_indexes(benchmark: DataFrame, shard_words: int = 200_000, **options) -
         own = items.where(shard == k)
         used = own.select(F.explode("ws").alias("w")).distinct()
         counts = {r[0]: r[1] for r in (df if shards == 1 else df.join(used, "w", "left_semi")).collect()}  # at most shard_words
-        out.append(BlockMaxIndex(sorted((r[0], list(r[1])) for r in own.collect()), counts, n, total / n, **options))
+        out.append(BlockMaxIndex(sorted(((r[0], list(r[1])) for r in own.collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1])), counts, n, total / n, **options))
     return out
 
 

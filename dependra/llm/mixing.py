@@ -6,7 +6,7 @@ state, the same on every run and for every partitioning. Rates over 64 are summe
 of independent Poisson counts is one), each with its own hash. Copies are exploded and sorted by a hash over all of them.
 
 Defined cases: a null source is a source of its own. Null doc_ids hash as the text `null`; rows with one doc_id get equal
-counts. Sources without a target weight get none. An empty table gives no rows. Columns named copy or mix_key are replaced.
+counts. Sources without a target weight get none, and weights of sources without rows don't count. An empty table gives no rows. Columns named copy or mix_key are replaced.
 """
 
 from __future__ import annotations
