@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 #: Lets joins on sentence_id and more use a dealing by sentence_id alone; else Spark would shuffle both sides again.
 SUBSET_KEYS = "spark.sql.requireAllClusterKeysForCoPartition"
 
+#: Off while the plan of a cached corpus is made: an adaptive plan hides its partitioning from later joins.
+ADAPTIVE = "spark.sql.adaptive.enabled"
+
 TOKENS = "sentence_id long, position int, word string, pos string, lemma string, wc string, indegree int, outdegree int, root boolean"
 DEPENDENCIES = "sentence_id long, governor int, dependent int, relation string"
 
@@ -38,7 +41,12 @@ class Corpus:
         """Kept, dealt by sentence_id: joins on sentence_id and more need no further shuffle."""
         self.spark.conf.set(SUBSET_KEYS, "false")
         n = partitions or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        return Corpus(*(t.repartition(n, "sentence_id").persist() for t in (self.tokens, self.dependencies)))
+        before = self.spark.conf.get(ADAPTIVE)
+        self.spark.conf.set(ADAPTIVE, "false")
+        try:
+            return Corpus(*(t.repartition(n, "sentence_id").persist() for t in (self.tokens, self.dependencies)))
+        finally:
+            self.spark.conf.set(ADAPTIVE, before)
 
     def save(self, name: str, buckets: int = 200, path: str | None = None) -> None:
         """Tables name_tokens and name_dependencies, bucketed and sorted by sentence_id."""
