@@ -203,3 +203,38 @@ def test_stars(spark):
     assert sum(x for x, _ in freq.values()) == 2 + 1 + 2
     assert {r.star_freq for r in structures.star_frequencies(stars, skeleton=True).collect()} == {1, 2}
     assert structures.edge_to_skeleton(stars).where("size(skeletons) <> 1").count() == 0
+
+
+def test_match_operators(spark):
+    from dependra.operators import match
+
+    rng = random.Random(11)
+    sentences = [random_sentence(rng) for _ in range(30)]
+    c = H.corpus(spark, *sentences)
+    p = Pattern(({"wc": "VERB"}, {"not_wc": "VERB"}, {}), ((0, 1, {}), (0, 2, {"not_relation": "conj"})))
+    every = {(i, m) for i, s in enumerate(sentences) for m in H.matches(s, p)}
+    assert {r[0] for r in match.subsumed(c, p).collect()} == {i for i, _ in every}
+    assert {tuple(r) for r in match.rooted(c, p, 0).collect()} == {(i, m[0]) for i, m in every}
+    places = spark.createDataFrame([(i, v) for i, s in enumerate(sentences) for v in range(len(s[0]))], "sentence_id long, focus int")
+    assert match.rooted_at(c, p, 1, places).count() == len({(i, m[1]) for i, m in every})
+    counts = {tuple(r)[:2]: r.embeddings for r in match.count_fixed(c, p, 1, places.withColumnRenamed("focus", "position")).collect()}
+    assert all(n == sum(j == i and m[1] == v for j, m in every) for (i, v), n in counts.items())
+    by_sql = spark.sql(match.pattern_sql(p, "{t}", "{d}"), t=c.tokens, d=c.dependencies)
+    assert {(r[0], tuple(r[1:])) for r in by_sql.collect()} == every
+    folded = {r.sentence_id: r.m1 for r in match.folded(compiler.embeddings(c, p), p).collect()}
+    assert folded == {i: sorted({m[1] for j, m in every if j == i}) for i, _ in every}
+    sets = {tuple(r) for r in match.candidate_sets(c, p).collect()}
+    assert sets >= {(i, q, x) for i, m in every for q, x in enumerate(m)}
+    subs = match.subsets(spark.createDataFrame([(["a", "b", "c"],)], "xs array<string>"), "xs", 1, 2)
+    assert sorted(tuple(r.subset) for r in subs.collect()) == [("a",), ("a", "b"), ("a", "c"), ("b",), ("b", "c"), ("c",)]
+
+
+def test_breadth_first_and_connected(spark):
+    from dependra.operators import match
+
+    g = ([V("A", root="root"), V("B"), V("B"), V("B"), V("B")], [(0, 2, "a"), (0, 1, "b"), (2, 4, "z"), (1, 3, "a"), (4, 3, "c")])
+    c = H.corpus(spark, g)
+    assert [r.position for r in match.breadth_first(c).orderBy("rank").collect()] == [0, 2, 1, 4, 3]
+    want = {frozenset(e) for _, e in structures.all_connected([(s, t) for s, t, _ in g[1]], 2, 4)}
+    got = structures.connected_subgraphs(c, 2, 4).collect()
+    assert {frozenset((e.g, e.d) for e in r.edges) for r in got} == want and len(got) == len(want)
