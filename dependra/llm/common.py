@@ -12,12 +12,23 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that a worker turns into arrays at a time.
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 2_000_000
 
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
+#: Rows and bytes of text in a record batch on its way to Python: with these a worker's memory doesn't depend on the texts' lengths,
+#: but for a single text.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "4000", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
+
+
+def small_batches(spark: SparkSession) -> None:
+    for k, v in BATCH.items():
+        spark.conf.set(k, v)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -29,6 +40,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession):
+        small_batches(spark)
         base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
         if not base:
             base = tempfile.mkdtemp(prefix="dependra-")
@@ -72,7 +84,7 @@ def words(text: str | None) -> list[bytes]:
 class WordHashes(dict):
     """64-bit hashes of words, remembered up to a bound."""
 
-    LIMIT = 500_000
+    LIMIT = 200_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:
@@ -144,6 +156,7 @@ def with_python(df: DataFrame, make, new: str, keep: list[str] | None = None, te
     from pyspark.sql import types as T
     from pyspark.sql.pandas.types import to_arrow_type
 
+    small_batches(df.sparkSession)
     fields = T._parse_datatype_string(new).fields
     names = {f.name.lower() for f in fields}
     out = [c for c in (keep if keep is not None else df.columns) if c.lower() not in names]
