@@ -175,55 +175,49 @@ def grouped(batches, keys: list[str]):
         yield rest
 
 
-def _slack(rate: float) -> int:
-    """How many of a Poisson number of accidental 32-bit matches at most, but for a chance of 1e-12."""
-    k, term = 0, rate
-    while term >= 1e-12:
-        k += 1
-        term *= rate / (k + 1)
-    return k
-
-
-def _across(buckets: DataFrame, classes: DataFrame, texts: DataFrame, size: int, similarity: float, block: int = 256) -> DataFrame:
-    """Links (a, b) between different components within buckets (rep, comp, bucket), all but for the last check.
-
-    The members of a bucket's largest component and the others are dealt into blocks; every pair of blocks with others
-    in it is one piece of a task's work. A pair is looked at in the smallest bucket that it shares: the
-    sketches are compared first, then the sets, cut to 32 bits a shingle, with an allowance for that. As soon as two components
-    are linked beyond doubt, their other pairs are left out.
+def _across(buckets: DataFrame, classes: DataFrame, texts: DataFrame, size: int, similarity: float, block: int = 1024, block_bytes: int = 8_000_000) -> DataFrame:
+    """Links (a, b) that join the different components within buckets (rep, comp, bucket, size).
+
+    The members of a bucket's largest component and the others are dealt into blocks, of `block` members and block_bytes
+    of sets or so; every pair of blocks with others in it is one piece of a task's work. A pair is looked at in the smallest bucket
+    that it shares: the sketches are compared first, then the full sets. As soon as two components are linked, their other
+    pairs are left out, so a piece emits fewer rows than it has components.
     """
-    counts = buckets.groupBy("bucket", "comp").agg(F.count("*").alias("k"), F.expr("bit_xor(xxhash64(rep))").alias("who"))
-    open_ = counts.groupBy("bucket").agg(F.sum("k").alias("n"), F.max(F.struct("k", "comp")).alias("m"), F.expr("bit_xor(who)").alias("who"), F.count("*").alias("comps")).where("comps > 1")
+    percent = round(similarity * 100)
+    counts = buckets.groupBy("bucket", "comp").agg(F.count("*").alias("k"), F.sum("size").alias("w"), F.expr("bit_xor(xxhash64(rep))").alias("who"))
+    open_ = counts.groupBy("bucket").agg(F.sum("k").alias("n"), F.sum("w").alias("w"), F.max(F.struct("k", "comp", "w")).alias("m"), F.expr("bit_xor(who)").alias("who"), F.count("*").alias("comps")).where("comps > 1")
     # Buckets with the same members need one look: at the smallest.
-    open_ = open_.groupBy("who", "n", "m").agg(F.min("bucket").alias("bucket"))
-    open_ = open_.selectExpr("bucket", "m.comp most", f"cast(ceil(m.k / {block}) as int) na", f"cast(ceil((n - m.k) / {block}) as int) nb")
+    open_ = open_.groupBy("who", "n", "w", "m").agg(F.min("bucket").alias("bucket"))
+    blocks = f"cast(greatest(ceil(({{0}}) / {block}), ceil(8 * ({{1}}) / {block_bytes})) as int)"
+    open_ = open_.selectExpr("bucket", "m.comp most", f"{blocks.format('m.k', 'm.w')} na", f"{blocks.format('n - m.k', 'w - m.w')} nb")
     rows = buckets.join(open_, "bucket").withColumn("main", F.expr("comp = most")).withColumn("blk", F.expr("cast(pmod(xxhash64(rep), if(main, na, nb)) as int)"))
     rows = rows.withColumn("at", F.expr("""explode(if(main, transform(sequence(0, nb - 1), o -> named_struct('kind', 0, 'i', blk, 'j', o)),
         concat(transform(sequence(0, na - 1), o -> named_struct('kind', 0, 'i', o, 'j', blk)), transform(sequence(0, nb - 1), o -> named_struct('kind', 1, 'i', least(blk, o), 'j', greatest(blk, o))))))"""))
-    rows = rows.select("rep", "comp", "bucket", "main", "blk", "at.*")
+    rows = rows.select("rep", "comp", "bucket", "size", "main", "blk", "at.*")
 
-    def compact(batches):
+    def sets(batches):
         hashes = WordHashes()
         for b in slices(batches):
-            sets = [np.unique((shingles(hashes.of(words(t)), size) >> np.uint64(32)).astype(np.uint32)) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([x.tobytes() for x in sets], pa.binary())], names=["r3", "short"])
+            full = [shingles(hashes.of(words(t)), size).tobytes() for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(full, pa.binary())], names=["r3", "full"])
 
-    few = texts.join(rows.select("rep").distinct(), F.expr("doc_id = rep"), "left_semi").select("doc_id", "text").mapInArrow(compact, "r3 long, short binary")
-    rows = rows.join(classes.selectExpr("rep r2", "n size", "sketch"), F.expr("rep = r2")).join(few, F.expr("rep = r3"))
-    rows = rows.select("bucket", "kind", "i", "j", "rep", "comp", "main", "blk", "size", "sketch", "short")
+    few = texts.join(rows.select("rep").distinct(), F.expr("doc_id = rep"), "left_semi").select("doc_id", "text").mapInArrow(sets, "r3 long, full binary")
+    rows = rows.join(classes.selectExpr("rep r2", "sketch"), F.expr("rep = r2")).join(few, F.expr("rep = r3"))
+    rows = rows.select("bucket", "kind", "i", "j", "rep", "comp", "main", "blk", "size", "sketch", "full")
     seeds = mix(np.arange(1, BANDS + 1).astype(np.uint64))
 
     def run(batches):
+        last = np.iinfo(np.int64).max
         for g in grouped(batches, ["bucket", "kind", "i", "j"]):
             k = g.num_rows
             bucket, kind, i, j = (g.column(c)[0].as_py() for c in ("bucket", "kind", "i", "j"))
-            rep, comp, blk, n = (g.column(c).to_numpy() for c in ("rep", "comp", "blk", "size"))
-            main = np.array(g.column("main").to_pylist(), bool)
-            short = g.column("short").to_pylist()
+            rep, label, blk, n = (g.column(c).to_numpy() for c in ("rep", "comp", "blk", "size"))
+            label, main = label.copy(), np.array(g.column("main").to_pylist(), bool)
+            full = g.column("full")
             raw = b"".join(g.column("sketch").to_pylist())
             s = np.frombuffer(raw, np.uint16).reshape(k, -1)
             keys = mix(np.frombuffer(raw, np.uint64).reshape(k, BANDS) ^ seeds).view(np.int64)
-            label, out = comp.copy(), []
+            out = []
             for x in range(k):
                 if kind == 0 and main[x]:
                     continue
@@ -232,26 +226,23 @@ def _across(buckets: DataFrame, classes: DataFrame, texts: DataFrame, size: int,
                 y = np.flatnonzero(ok)
                 # The exact bound by sizes, then the bucket that has the pair, then the sketches.
                 y = y[np.minimum(n[y], n[x]) >= similarity * np.maximum(n[y], n[x]) - 1e-9]
-                y = y[np.where(keys[y] == keys[x], keys[y], np.iinfo(np.int64).max).min(axis=1, initial=np.iinfo(np.int64).max) == bucket]
+                y = y[np.where(keys[y] == keys[x], keys[y], last).min(axis=1, initial=last) == bucket]
                 y = y[(s[y] == s[x]).sum(axis=1) >= 0.45 * s.shape[1]]
                 if len(y):
                     y = y[plausible(np.broadcast_to(s[x], (len(y), s.shape[1])), s[y], np.full(len(y), n[x]), n[y], similarity)]
-                mine = np.frombuffer(short[x], np.uint32) if len(y) else None
+                mine = np.frombuffer(full[x].as_py(), np.uint64) if len(y) else None
                 for z in y.tolist():
                     if label[z] == label[x]:
                         continue
-                    other = np.frombuffer(short[z], np.uint32)
-                    both, slack = len(np.intersect1d(mine, other, assume_unique=True)), _slack(2 * float(n[x]) * float(n[z]) / 2**32)
-                    if both + slack >= similarity * (n[x] + n[z] - both - slack):
-                        out.append((min(rep[x], rep[z]), max(rep[x], rep[z])))
-                        # Only what is beyond doubt stands in for other pairs.
-                        if both - slack >= similarity * (n[x] + n[z] - both + slack):
-                            label[label == label[z]] = label[x]
+                    both = len(np.intersect1d(mine, np.frombuffer(full[z].as_py(), np.uint64), assume_unique=True))
+                    if 100 * both >= percent * (n[x] + n[z] - both):
+                        out.append((int(min(rep[x], rep[z])), int(max(rep[x], rep[z]))))
+                        label[label == label[z]] = label[x]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array([int(p[q]) for p in out], pa.int64()) for q in (0, 1)], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array([p[q] for p in out], pa.int64()) for q in (0, 1)], names=["a", "b"])
 
     dealt = rows.repartition("bucket", "kind", "i", "j").sortWithinPartitions("bucket", "kind", "i", "j")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, scratch: Scratch, size: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -277,10 +268,10 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, size: int = 5, similarity
     links = _verified(scratch, "links", star, classes, texts, size, similarity)
     nodes = classes.selectExpr("rep id")
     comps = scratch.save(component_labels(scratch, nodes, links, "cc1"), "comps1")
-    held = scratch.save(shared.join(comps.selectExpr("id rep", "component comp"), "rep").select("rep", "comp", "bucket"), "held")
-    across = scratch.save(_across(held, classes, texts, size, similarity), "across")
+    held = shared.join(comps.selectExpr("id rep", "component comp"), "rep").join(classes.selectExpr("rep r1", "n size"), F.expr("rep = r1"))
+    held = scratch.save(held.select("rep", "comp", "bucket", "size"), "held")
+    more = scratch.save(_across(held, classes, texts, size, similarity).distinct(), "more")
     scratch.collect_garbage()
-    more = _verified(scratch, "more", across, classes, texts, size, similarity)
     if more.limit(1).count():
         comps = scratch.save(component_labels(scratch, nodes, links.unionAll(more), "cc2"), "comps2")
     named = classes.select("set_hash", "rep").join(comps, F.expr("rep = id")).selectExpr("set_hash h", "component")
