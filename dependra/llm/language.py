@@ -148,7 +148,7 @@ class Identifier:
             self.table = np.concatenate([self.table, self.model.log_likelihoods(new)])
         langs, scores = [], np.zeros(len(texts))
         for i, ws in enumerate(found):
-            if not ws:
+            if not any(c.isalpha() for w in ws for c in w):  # ends at the first letter
                 langs.append("und")
                 continue
             s = self.table[np.fromiter(map(self.known.__getitem__, ws), np.int64, len(ws))].sum(axis=0)
