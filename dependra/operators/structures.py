@@ -58,15 +58,24 @@ def node_induced(edges: list[Edge], low: int, high: int):
             todo += [s | {w} for e in edges for v, w in (e, e[::-1]) if v in s and w not in s]
 
 
-def graph_key(vertices: list[int], labels: dict[int, dict], edges: list[tuple[int, int, dict]]) -> tuple[str, list[int]]:
-    """Node-link JSON of the graph in canonical order, and that order."""
+def graph_key(vertices: list[int], labels: dict[int, dict], edges: list[tuple[int, int, dict]], memo: dict | None = None) -> tuple[str, list[int]]:
+    """Node-link JSON of the graph in canonical order, and that order. memo: results for graphs equal but for their ids."""
     at = {v: i for i, v in enumerate(vertices)}
-    order = canonical_order([json.dumps(labels[v], sort_keys=True, ensure_ascii=False) for v in vertices], [(at[s], at[t], json.dumps(e, sort_keys=True, ensure_ascii=False)) for s, t, e in edges])
-    place = {vertices[v]: i for i, v in enumerate(order)}
-    nodes = [{"id": place[v], **labels[v]} for v in vertices]
-    links = [{"source": place[s], "target": place[t], **e} for s, t, e in edges]
-    out = {"directed": True, "graph": {}, "links": sorted(links, key=lambda x: (x["source"], x["target"])), "multigraph": False, "nodes": sorted(nodes, key=lambda x: x["id"])}
-    return json.dumps(out, sort_keys=True, ensure_ascii=False), [vertices[v] for v in order]
+    text = lambda d: json.dumps(d, sort_keys=True, ensure_ascii=False) if d else "{}"
+    graph = (tuple(text(labels[v]) for v in vertices), tuple((at[s], at[t], text(e)) for s, t, e in edges))
+    found = memo.get(graph) if memo is not None else None
+    if found is None:
+        order = canonical_order(list(graph[0]), list(graph[1]))
+        place = {v: i for i, v in enumerate(order)}
+        nodes = [{"id": place[i], **labels[v]} for i, v in enumerate(vertices)]
+        links = [{"source": place[at[s]], "target": place[at[t]], **e} for s, t, e in edges]
+        out = {"directed": True, "graph": {}, "links": sorted(links, key=lambda x: (x["source"], x["target"])), "multigraph": False, "nodes": sorted(nodes, key=lambda x: x["id"])}
+        found = (text(out), order)
+        if memo is not None:
+            if len(memo) > 100_000:
+                memo.clear()
+            memo[graph] = found
+    return found[0], [vertices[v] for v in found[1]]
 
 
 _LABELS = ("word", "pos", "lemma", "wc", "root")
@@ -77,7 +86,7 @@ def _labels(token: dict) -> dict:
     return out | ({"root": "root"} if token["root"] else {})
 
 
-def surroundings(tokens: list[dict], deps: list[dict], embedding: list[int], query: Pattern, max_size: int, keep_lemma: bool) -> set[tuple[str, str]]:
+def surroundings(tokens: list[dict], deps: list[dict], embedding: list[int], query: Pattern, max_size: int, keep_lemma: bool, memo: dict | None = None) -> set[tuple[str, str]]:
     """(gc key, gb key) of every star-like surrounding of an embedding: connected, with all of the query's vertices and edges and
     1 to max_size - len(query) vertices more, all adjacent to the query's in the sentence."""
     own = set(embedding)
@@ -98,7 +107,7 @@ def surroundings(tokens: list[dict], deps: list[dict], embedding: list[int], que
                 gc[v] = gb[v] = {k: x for k, x in labels[v].items() if k in outside}
         links = [(s, t, {"relation": relation[s, t]}) for s, t in sorted(edges)]
         order = sorted(vertices)
-        out.add((graph_key(order, gc, links)[0], graph_key(order, gb, links)[0]))
+        out.add((graph_key(order, gc, links, memo)[0], graph_key(order, gb, links, memo)[0]))
     return out
 
 
@@ -128,14 +137,16 @@ def larger_structures(corpus: Corpus, query: Pattern, max_size: int = 7, min_coo
     def run(batches):
         import pyarrow as pa
 
+        memo: dict = {}
         for b in batches:
             out = []
             for r in b.to_pylist():
                 for s in r["sets"]:
-                    out += [(r["sentence_id"], s["set"], c, g) for c, g in surroundings(r["tokens"], r["dependencies"], s["m"], query, max_size, keep_lemma)]
+                    out += [(r["sentence_id"], s["set"], c, g) for c, g in surroundings(r["tokens"], r["dependencies"], s["m"], query, max_size, keep_lemma, memo)]
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.list_(pa.int32()), pa.string(), pa.string()))], names=["sentence_id", "set", "gc", "gb"])
 
-    around = rows.mapInArrow(run, "sentence_id long, set array<int>, gc string, gb string")
+    # Kept, as both keys are counted from it.
+    around = rows.mapInArrow(run, "sentence_id long, set array<int>, gc string, gb string").persist()
     flagged = found.withColumn("set", F.expr(f"array_sort(array({', '.join(names)}))"))
     units = by_unit(flagged, names, f"m{focus}", "fa", "set")
     totals = units.groupBy("method", "sentence_id", "unit").agg(F.max("fa").alias("fa")).groupBy("method").agg(F.count("*").alias("n"), F.expr("count_if(fa)").alias("a"))
@@ -153,12 +164,28 @@ def larger_structures(corpus: Corpus, query: Pattern, max_size: int = 7, min_coo
     return with_measures(rows, digits=digits)
 
 
+def _star_keys(n: int, center: int, edges: tuple[tuple[int, int, str], ...]) -> tuple:
+    """edge_key, edge_center, skeleton_key, skeleton_center, length, degrees, relations of a star on vertices 0..n-1."""
+    every, none = list(range(n)), {x: {} for x in range(n)}
+
+    def keyed(links: list[tuple[int, int, dict]]) -> tuple[str, int]:
+        key, order = graph_key(every, none, links)
+        with_center = lambda x: graph_key(every, none | {x: {"c": 1}}, links)[0]
+        own = with_center(center)
+        # Equivalent vertices share the smallest place.
+        return key, min(i for i, x in enumerate(order) if with_center(x) == own)
+
+    degrees = sorted((sum(x in e[:2] for e in edges) for x in every), reverse=True)
+    return (*keyed([(s, t, {"relation": r}) for s, t, r in edges]), *keyed([(s, t, {}) for s, t, _ in edges]), n, " ".join(map(str, degrees)), " ".join(sorted(r for _, _, r in edges)))
+
+
 def star_rows(corpus: Corpus, max_vertices: int | None = None) -> DataFrame:
     """A row for every star-like subgraph: sentence_id, center, pos, wc, edge_key, edge_center, skeleton_key, skeleton_center, length, degrees, relations."""
 
     def run(batches):
         import pyarrow as pa
 
+        memo: dict = {}
         for b in batches:
             out = []
             for r in b.to_pylist():
@@ -170,14 +197,14 @@ def star_rows(corpus: Corpus, max_vertices: int | None = None) -> DataFrame:
                     for vertices, chosen in connected_edge_sets(edges, (frozenset([v]), frozenset()), 2, min(max_vertices or len(near), len(near))):
                         if not all((v, x) in chosen or (x, v) in chosen for x in vertices if x != v):
                             continue
-                        order, links = sorted(vertices), sorted(chosen)
-                        none = {x: {} for x in order}
-                        edge_key, at = graph_key(order, none, [(x, y, {"relation": relation[x, y]}) for x, y in links])
-                        skeleton, skel_at = graph_key(order, none, [(x, y, {}) for x, y in links])
-                        # Equivalent vertices share the smallest place.
-                        centre = lambda key, at, named: min(i for i, x in enumerate(at) if graph_key(order, none | {x: {"c": 1}}, named)[0] == graph_key(order, none | {v: {"c": 1}}, named)[0])
-                        degrees = sorted((sum(x in e for e in links) for x in order), reverse=True)
-                        out.append((r["sentence_id"], v, t["pos"], t["wc"], edge_key, centre(edge_key, at, [(x, y, {"relation": relation[x, y]}) for x, y in links]), skeleton, centre(skeleton, skel_at, [(x, y, {}) for x, y in links]), len(order), " ".join(map(str, degrees)), " ".join(sorted(relation[e] for e in links))))
+                        order = sorted(vertices)
+                        at = {x: i for i, x in enumerate(order)}
+                        star = (len(order), at[v], tuple((at[x], at[y], relation[x, y]) for x, y in sorted(chosen)))
+                        if star not in memo:
+                            if len(memo) > 100_000:
+                                memo.clear()
+                            memo[star] = _star_keys(*star)
+                        out.append((r["sentence_id"], v, t["pos"], t["wc"], *memo[star]))
             kinds = (pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], names=["sentence_id", "center", "pos", "wc", "edge_key", "edge_center", "skeleton_key", "skeleton_center", "length", "degrees", "relations"])
 
