@@ -6,7 +6,7 @@ by the forward algorithm; a text's is the product over its words, as no piece cr
 
 Words are runs of letters, lower-cased, whole and of the whole text. Defined cases: null texts and texts without a
 letter get `und` and the score 0; without a learned language every text does. Characters outside the vocabulary share one probability. Ties go to the first
-language in code-point order. Rows with null lang or null doc_id teach nothing. Other columns pass through.
+language in code-point order. Rows with null lang or null doc_id teach nothing, rows with one doc_id once (by the smallest text). Other columns pass through.
 """
 
 from __future__ import annotations
@@ -161,6 +161,8 @@ class Identifier:
 def fit_languages(docs: DataFrame, per_lang: int = 250, vocabulary_path: str | None = None, seed: int = 5) -> PieceModel:
     """Learns from text and lang of docs, from about per_lang documents of each language (a bound that is a parameter)."""
     some = sampled(docs.where("lang is not null and doc_id is not null").select("doc_id", "lang", "text"), "lang", per_lang, "doc_id", seed)
+    # Rows with one doc_id, however many, are one text of the sample.
+    some = some.groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
 
     def count(batches):
         import pyarrow as pa

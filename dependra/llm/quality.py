@@ -6,8 +6,8 @@ difference of the two sizes, normalised by their sum, is calibrated to a probabi
 terms are the size relative to the text and the length, both of them compressed sizes too.
 
 Defined cases: null and empty texts get the score of a difference of zero and no length. Without labels of both
-classes the score is the share of label 1, smoothed (0.5 without labels). Null labels and null doc_ids teach nothing; repeated labels count
-as often as they occur. Other columns of the input pass through.
+classes the score is the share of label 1, smoothed (0.5 without labels). Null labels and null doc_ids teach nothing; repeated labels and
+rows with one doc_id teach once (by the smallest text). Other columns of the input pass through.
 """
 
 from __future__ import annotations
@@ -88,10 +88,12 @@ def fit_quality(docs: DataFrame, labels: DataFrame, per_class: int = 1500, dict_
     The bounds of the sample are parameters: about per_class documents of each class teach the dictionary, by at most
     blocks_per_doc blocks spread over the whole of a text, and as many others fit the calibration, by whole texts.
     """
-    some = sampled(labels.where("quality in (0, 1) and doc_id is not null").selectExpr("doc_id", "cast(quality as int) quality"), "quality", 2 * per_class, "doc_id", seed)
+    some = sampled(labels.where("quality in (0, 1) and doc_id is not null").selectExpr("doc_id", "cast(quality as int) quality").distinct(), "quality", 2 * per_class, "doc_id", seed)
     some = some.withColumn("role", F.expr(f"pmod(xxhash64(doc_id, {seed + 1}), 2)"))
     # Bounded by the parameters: 4 * per_class ids.
     texts = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").where("text <> ''")
+    # Rows with one doc_id, however many, are one text of the sample.
+    texts = texts.groupBy("doc_id", "quality", "role").agg(F.min("text").alias("text"))
 
     def blocks(batches):
         import pyarrow as pa
