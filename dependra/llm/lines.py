@@ -1,8 +1,13 @@
 """Line dedup over levelled sorted runs of line hashes.
 
 A run is a table of (key, n_docs, max_doc), bucketed and sorted by key. Each new batch of documents merge-anti-joins the
-runs (which tells its fresh keys from those seen before) and adds its own run; two runs of one level are merged into
-one of the next, so that n batches leave about log2(n) runs. Runs and merges need no shuffle beyond the batch's own.
+runs: its fresh keys, those in no run, become its own run, so that a key lies in one run only; what the anti-join takes away is
+a repeat and goes to a log of sightings. Two runs of one level are compacted into one of the next, so that n batches leave
+about log2(n) runs. A key's documents are those of its run and of the log. Runs, compaction and log need no shuffle
+beyond the batch's own.
+
+Keys in more than one of `hot` rows are so few that they are broadcast (at most hot keys can be); the other keys meet their lines by
+a shuffle in which none of them is large.
 
 A line's key is a 128-bit hash of the line, stripped of [\\x20\\x09-\\x0D] at both ends and with A-Z lower-cased. Lines
 whose key has at least min_chars code points and is in at least min_docs documents stay only in the largest doc_id
@@ -15,6 +20,8 @@ and keep their lines. Other columns pass through; columns named n_lines, n_dropp
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -32,10 +39,10 @@ def line_key(line: str, min_chars: int) -> bytes | None:
 
 
 class LineRuns:
-    """The levels of runs; tables in the shared scratch folder."""
+    """The levels of runs and the log of sightings; tables in the shared scratch folder, out of the catalog after close()."""
 
     def __init__(self, scratch: Scratch, buckets: int):
-        self.scratch, self.buckets, self.levels, self.made = scratch, buckets, {}, 0
+        self.scratch, self.buckets, self.levels, self.log, self.made = scratch, buckets, {}, [], 0
 
     def _write(self, rows: DataFrame) -> tuple[str, DataFrame]:
         self.made += 1
@@ -51,20 +58,21 @@ class LineRuns:
         return [t for _, (_, t) in sorted(self.levels.items())]
 
     def add(self, batch: DataFrame) -> None:
-        """batch: (doc_id, key), each pair once, no doc_id of an earlier batch. A run's column fresh: no earlier run has the key."""
-        own = batch.groupBy("key").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("max_doc")).repartition(self.buckets, "key")
-        new = own
-        for t in self.runs():
-            new = new.join(t.select("key"), "key", "left_anti")
+        """batch: (doc_id, key), each pair once, no doc_id of an earlier batch."""
+        own = batch.groupBy("key").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("max_doc"))
+        held = self._write(own.repartition(self.buckets, "key"))
         if self.levels:
-            own = own.join(new.selectExpr("key", "true fresh"), "key", "left").selectExpr("key", "n_docs", "max_doc", "coalesce(fresh, false) fresh")
-        else:
-            own = own.selectExpr("key", "n_docs", "max_doc", "true fresh")
-        level, held = 0, self._write(own)
+            every, fresh = held, held[1]
+            for t in self.runs():
+                fresh = fresh.join(t.select("key"), "key", "left_anti")
+            held = self._write(fresh)
+            self.log.append(self._write(every[1].join(held[1].select("key"), "key", "left_anti")))
+            self._drop(every[0])
+        level = 0
         while level in self.levels:
             name, older = self.levels.pop(level)
-            merged = older.alias("a").join(held[1].alias("b"), "key", "full_outer").selectExpr(
-                "key", "coalesce(a.n_docs, 0) + coalesce(b.n_docs, 0) n_docs", "greatest(a.max_doc, b.max_doc) max_doc", "coalesce(a.fresh, b.fresh) fresh")
+            # No key is in both: the full join is a merge of sorted runs where they lie.
+            merged = older.alias("a").join(held[1].alias("b"), "key", "full_outer").selectExpr("key", "coalesce(a.n_docs, b.n_docs) n_docs", "coalesce(a.max_doc, b.max_doc) max_doc")
             before, held = held, self._write(merged)
             self._drop(before[0])
             self._drop(name)
@@ -72,16 +80,21 @@ class LineRuns:
         self.levels[level] = held
 
     def frequent(self, min_docs: int) -> DataFrame:
-        """(key, max_doc) of the keys in at least min_docs documents."""
-        rows = None
-        for t in self.runs():
-            t = t.select("key", "n_docs", "max_doc")
-            rows = t if rows is None else rows.alias("a").join(t.alias("b"), "key", "full_outer").selectExpr(
-                "key", "coalesce(a.n_docs, 0) + coalesce(b.n_docs, 0) n_docs", "greatest(a.max_doc, b.max_doc) max_doc")
-        return rows.where(F.col("n_docs") >= min_docs).select("key", "max_doc")
+        """(key, n_docs, max_doc) of the keys in at least min_docs documents."""
+        out = []
+        for rows in self.runs():
+            for _, t in self.log:
+                rows = rows.alias("a").join(t.alias("b"), "key", "left").selectExpr("key", "a.n_docs + coalesce(b.n_docs, 0) n_docs", "greatest(a.max_doc, b.max_doc) max_doc")
+            out.append(rows.where(F.col("n_docs") >= min_docs))
+        return reduce(lambda a, b: a.unionAll(b), out)
+
+    def close(self) -> None:
+        for name, _ in [*self.levels.values(), *self.log]:
+            self._drop(name)
+        self.levels, self.log = {}, []
 
 
-def drop_repeated_lines(docs: DataFrame, scratch: Scratch, min_chars: int = 40, min_docs: int = 5, batches: int = 4, keep: list[str] | None = None) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, scratch: Scratch, min_chars: int = 40, min_docs: int = 5, batches: int = 4, hot: int = 2000, keep: list[str] | None = None) -> DataFrame:
     """docs with text rid of its repeated lines, n_lines (before) and n_dropped."""
     spark = docs.sparkSession
 
@@ -100,7 +113,15 @@ def drop_repeated_lines(docs: DataFrame, scratch: Scratch, min_chars: int = 40,
     runs = LineRuns(scratch, int(spark.conf.get("spark.sql.shuffle.partitions")))
     for i in range(batches):
         runs.add(lines.where(F.col("batch") == i).select("doc_id", "key"))
-    gone = lines.join(runs.frequent(min_docs), "key").where("doc_id <> max_doc").groupBy("doc_id").agg(F.collect_set("key").alias("gone__"))
+    often = scratch.save(runs.frequent(min_docs), "often")
+    runs.close()
+    lines = lines.select("doc_id", "key")
+    # At most `hot` keys can have more than one of `hot` rows.
+    few = often.where(F.col("n_docs") > lines.count() / hot).selectExpr("key k", "max_doc")
+    rest = often.join(F.broadcast(few), F.expr("key = k"), "left_anti").select("key", "max_doc")
+    gone = lines.join(F.broadcast(few), F.expr("key = k")).select("doc_id", "key", "max_doc")
+    gone = gone.unionAll(lines.join(F.broadcast(few), F.expr("key = k"), "left_anti").join(rest, "key").select("doc_id", "key", "max_doc"))
+    gone = gone.where("doc_id <> max_doc").groupBy("doc_id").agg(F.collect_set("key").alias("gone__"))
 
     def make():
         def clean(batch):
