@@ -33,7 +33,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 class Scratch:
-    """Tables in the shared folder of spark.checkpoint.dir (a temporary folder where that is unset, as in tests).
+    """Tables in the shared folder of spark.checkpoint.dir (a temporary folder where that is unset and the master local, as in tests).
 
     A table written here cuts the lineage: a lost executor costs its own tasks only.
     All tables of a run lie under one folder, which goes when the driver exits.
@@ -43,6 +43,8 @@ class Scratch:
         small_batches(spark)
         base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
         if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             base = tempfile.mkdtemp(prefix="dependra-")
         self.spark, self.root = spark, f"{base.rstrip('/')}/dependra-{uuid.uuid4().hex}"
         atexit.register(self.drop)
@@ -176,13 +178,10 @@ def with_python(df: DataFrame, make, new: str, keep: list[str] | None = None, te
 def sampled(df: DataFrame, by: str, most: int, key: str, seed: int) -> DataFrame:
     """About `most` rows of each value of `by`, picked by a hash of `key`: all rows where there are fewer.
 
-    Only the counts of the values reach the driver. The rows expected of a value are bounded by `most`.
+    Values are counted and joined where they lie; none reaches the driver. The rows expected of a value are bounded by `most`.
     """
-    from functools import reduce
-
     from pyspark.sql import functions as F
 
-    counts = {r[0]: r[1] for r in df.groupBy(by).count().collect() if r[0] is not None}
+    counts = df.where(F.col(by).isNotNull()).groupBy(F.col(by).alias("by__")).agg(F.count("*").alias("of__"))
     u = F.expr(f"pmod(xxhash64({key}, {seed}), 1000000)")
-    tests = [(F.col(by) == F.lit(v)) & (u < F.lit(-(-most * 1_000_000 // n))) for v, n in sorted(counts.items(), key=lambda x: str(x[0]))]
-    return df.where(reduce(lambda a, b: a | b, tests, F.lit(False)))
+    return df.join(counts, F.col(by) == F.col("by__")).where(u < F.ceil(F.lit(most * 1_000_000) / F.col("of__"))).drop("by__", "of__")
