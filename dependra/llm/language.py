@@ -4,7 +4,8 @@ The pieces are a fixed public vocabulary. For each language a probability of eve
 maximisation over all segmentations of words. A word's likelihood in a language is the sum over all its segmentations,
 by the forward algorithm; a text's is the product over its words, as no piece crosses a word's end.
 
-Words are runs of letters, lower-cased, whole and of the whole text. Defined cases: null texts and texts without a
+Words are runs of letters, lower-cased, whole and of the whole text, however long; a score of a long word takes no more memory than its
+letters. Words of more than 2,000 letters are learned from in parts of so many, each as a word of its own. Defined cases: null texts and texts without a
 letter get `und` and the score 0; without a learned language every text does. Characters outside the vocabulary share one probability. Ties go to the first
 language in code-point order. Rows with null lang or null doc_id teach nothing, rows with one doc_id once (by the smallest text). Other columns pass through.
 """
@@ -21,6 +22,8 @@ from dependra.llm.common import sampled, table, with_python
 
 LETTERS = re.compile(r"[^\W\d_]+")
 START = "▁"
+#: Letters of a word that is learned from in one piece.
+LEARNED = 2_000
 PRIME = np.uint64(0x100000001B3)
 
 
@@ -66,24 +69,30 @@ class PieceModel:
                 out.append(np.where(self.hashes[at] == h, self.order[at], self.n if size == 1 else self.n + 1))
         return out
 
-    def _forward(self, ids, k: int, width: int):
-        """Scaled sums over segmentations of what stands before each place, and the logarithms of the scales."""
-        a, scale = np.zeros((width + 1, k, self.p.shape[1])), np.zeros((width + 1, k))
-        a[0] = 1
-        for j in range(1, width + 1):
-            for size in range(1, min(self.longest, j) + 1):
-                a[j] += a[j - size] * self.p[ids[size - 1][:, j - size]]
-            top = a[j].max(axis=1)
-            scale[j] = scale[j - 1] + np.log(top)
-            # All places that a later piece can start from are on one scale.
-            a[max(0, j - self.longest) : j + 1] /= top[None, :, None]
-        return a, scale
+    def _forward(self, points: np.ndarray, chunk: int = 4_096):
+        """The logarithms of the sums over all segmentations of equally long words, by language.
+
+        Only the places that a next piece can start from are held, and the pieces of `chunk` places, whatever a word's length.
+        """
+        k, width = points.shape
+        held = [np.ones((k, self.p.shape[1]))]  # the last places, on one scale
+        scale = np.zeros(k)
+        for begin in range(0, width, chunk):
+            low = max(0, begin - self.longest + 1)
+            ids = self._ids(points[:, low : min(width, begin + chunk)])
+            for j in range(begin + 1, min(width, begin + chunk) + 1):
+                now = np.zeros_like(held[0])
+                for size in range(1, min(self.longest, j) + 1):
+                    now += held[-size] * self.p[ids[size - 1][:, j - size - low]]
+                top = now.max(axis=1)
+                scale += np.log(top)
+                held = [x / top[:, None] for x in (*held[-self.longest + 1 :], now)] if self.longest > 1 else [now / top[:, None]]
+        return np.log(np.maximum(held[-1], 1e-300)) + scale[:, None]
 
     def log_likelihoods(self, words: list[str], most: int = 20_000) -> np.ndarray:
         out = np.zeros((len(words), len(self.langs)))
         for index, points in self._by_length(words, most):
-            a, scale = self._forward(self._ids(points), *points.shape)
-            out[index] = np.log(np.maximum(a[-1], 1e-300)) + scale[-1][:, None]
+            out[index] = self._forward(points)
         return out
 
     def _by_length(self, words: list[str], most: int):
@@ -104,22 +113,28 @@ class PieceModel:
             for index, points in self._by_length(words, 5_000):
                 k, width = points.shape
                 ids = self._ids(points)
+                # Sums over what stands before and behind each place; the true ones are these times e to the power la, lb.
                 a = np.zeros((width + 1, k, len(self.langs)))
                 b = np.zeros_like(a)
                 a[0] = b[width] = 1
-                grow = 1e3  # a factor for each character, which keeps the sums of long words in range
+                la, lb = np.zeros(a.shape), np.zeros(a.shape)
                 for j in range(1, width + 1):
+                    i = width - j
+                    la[j], lb[i] = la[j - 1], lb[i + 1]
                     for size in range(1, min(self.longest, j) + 1):
-                        a[j] += a[j - size] * self.p[ids[size - 1][:, j - size]] * grow**size
-                        i = width - j
-                        b[i] += b[i + size] * self.p[ids[size - 1][:, i]] * grow**size
-                total = counts[index] / np.maximum(a[width], 1e-300)
+                        a[j] += a[j - size] * self.p[ids[size - 1][:, j - size]] * np.exp(la[j - size] - la[j])
+                        b[i] += b[i + size] * self.p[ids[size - 1][:, i]] * np.exp(lb[i + size] - lb[i])
+                    for x, lx, at in ((a, la, j), (b, lb, i)):
+                        top = np.maximum(x[at], 1e-300)
+                        lx[at] += np.log(top)
+                        x[at] /= top
+                total = counts[index]
                 for size in range(1, len(ids) + 1):
                     for i in range(width - size + 1):
                         found = ids[size - 1][:, i]
                         at = np.flatnonzero(found <= self.n)
                         if len(at):
-                            e = a[i][at] * self.p[found[at]] * b[i + size][at] * grow**size * total[at]
+                            e = a[i][at] * self.p[found[at]] * b[i + size][at] * np.exp((la[i] + lb[i + size] - la[width])[at]) * total[at] / a[width][at]
                             for lang in range(len(self.langs)):
                                 used[:, lang] += np.bincount(found[at], e[:, lang], self.n + 2)
             used[: self.n + 1] += smooth
@@ -171,7 +186,7 @@ def fit_languages(docs: DataFrame, per_lang: int = 250, vocabulary_path: str | N
         seen = Counter()
         for b in batches:
             for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist()):
-                seen.update((lang, w) for w in LETTERS.findall((text or "").lower()) if len(w) <= 40)
+                seen.update((lang, w[i : i + LEARNED]) for w in LETTERS.findall((text or "").lower()) for i in range(0, len(w), LEARNED))
         rows = sorted(seen.items())
         yield pa.RecordBatch.from_arrays([pa.array([r[0][0] for r in rows], pa.string()), pa.array([r[0][1] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64())], names=["lang", "word", "n"])
 

@@ -195,3 +195,48 @@ def test_op1_and_op10_held_out(spark):
     got = quality.op10_quality(spark, sf).toPandas().merge(labels, on="doc_id")
     held = got[got.held_out]
     assert (held.quality == held.predicted).mean() > 0.9
+
+
+def test_long_words(spark):
+    """Words of 45 letters, and of 5,000, teach and are told apart."""
+    rng = random.Random(4)
+    word = lambda syllables, n: "".join(rng.choice(syllables) for _ in range(n))
+    both = {"p": ["ka", "ro", "mi"], "q": ["ub", "esh", "int"]}
+    rows = [(i, " ".join(word(both[la], 5000 if i < 4 else 20) for _ in range(2 if i < 4 else 6)), la) for i in range(40) for la in [("p", "q")[i % 2]]]
+    known = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit_languages(known.where("doc_id < 30"))
+    assert all(r.lang_pred == r.lang and r.score > 0.99 for r in language.identify_language(known, model).where("doc_id < 4 or doc_id >= 30").collect())
+    m = language.PieceModel(["▁", "a", "b", "ab", "aba"], ["x"])
+    assert np.allclose(m._forward(np.array([[ord(c) for c in "▁" + "abab" * 30]], np.uint64), 7), m._forward(np.array([[ord(c) for c in "▁" + "abab" * 30]], np.uint64)))
+
+
+def test_op1_by_brute_force(spark):
+    """The whole query again in plain Python: its model's probabilities, every segmentation by a recursion, every text."""
+    from functools import cache
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = language.fit_languages(docs.where("pmod(crc32(cast(doc_id as string)), 3) <> 1"))
+    vocabulary = {p: i for i, p in enumerate(language.vocabulary())}
+
+    @cache
+    def log_p(word):
+        sums = [np.ones(len(model.langs))]
+        for j in range(1, len(word) + 1):
+            now = np.zeros(len(model.langs))
+            for i in range(max(0, j - model.longest), j):
+                if word[i:j] in vocabulary or j == i + 1:
+                    now += sums[i] * model.p[vocabulary.get(word[i:j], model.n)]
+            sums.append(now)
+        return np.log(sums[-1])
+
+    got = {r.doc_id: r for r in language.op1_language(spark, sf).collect()}
+    for i, text in cases.texts(docs):
+        found = language.LETTERS.findall((text or "").lower())
+        if not found:
+            assert (got[i].lang_pred, got[i].score) == ("und", 0)
+            continue
+        s = sum(log_p("▁" + w) for w in found)
+        assert got[i].lang_pred == model.langs[int(s.argmax())] and abs(got[i].score - 1 / np.exp(s - s.max()).sum()) < 1e-6
+        assert got[i].held_out == (__import__("zlib").crc32(str(i).encode()) % 3 == 1)
+    assert len(got) == docs.count()
