@@ -19,5 +19,6 @@ ORACLES = {
     "op4_chat": chat.OP4_SQL,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_lines": lines.OP6_SQL,
+    "op7_urls": urls.OP7_SQL,
     "op8_mixing": mixing.OP8_SQL,
 }

@@ -140,6 +140,9 @@ def test_urls(spark):
     assert {got[i].verdict for i in (0, 3, 5)} == {"block"} and {got[i].verdict for i in (2, 6, 8)} == {"allow"}
     assert urls.filter_urls(df, Scratch(spark)).count() == 15 and urls.filter_urls(cases.empty(df), Scratch(spark)).count() == 0
     assert urls.filter_urls(df, Scratch(spark), rules=()).where("verdict = 'block'").count() == 0
+    # Rules that only block: what has no label is allowed, but for http://b.net, of one template with http://b.net/.
+    only = {r.page_id: (r.rule, r.verdict) for r in urls.filter_urls(df, Scratch(spark), rules=(("block", "net", "/"),)).collect()}
+    assert all(v == ("block" if rule or i == 4 else "allow") for i, (rule, v) in only.items()) and only[3] == ("net/", "block")
 
 
 def test_url_templates_carry_verdicts_on(spark):
@@ -150,6 +153,22 @@ def test_url_templates_carry_verdicts_on(spark):
     assert {r.template for r in got if r.page_id < 200} == {"/ads/*/<n>"}
 
 
+def test_url_branches_merge_at_all_levels(spark):
+    """Two labelled branches with whole subtrees alike become one; their pages without a label get its verdict."""
+    rows, rules = [], []
+    for branch, kind in (("promo", "block"), ("offers", "block"), ("news", "allow"), ("blog", "allow")):
+        for leaf in ("red", "blue"):
+            for i in range(30):
+                rows.append((len(rows), f"https://s.org/{branch}/{leaf}/{i}"))
+        rules += [(kind, "s.org", f"/{branch}/red/")]
+    rows += [(len(rows), "https://s.org/promo/green/1"), (len(rows) + 1, "https://other.org/promo/red/1")]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    got = urls.filter_urls(pages, Scratch(spark), tuple(rules)).collect()
+    where = lambda *xs: {(r.template, r.verdict) for r in got if any(f"/{x}/" in r.path for x in xs) and r.host == "s.org"}
+    assert where("promo/red", "offers/red") == {("/{+}/red/<n>", "block")} and {v for _, v in where("news/red", "blog/red")} == {"allow"}
+    assert {r.verdict for r in got if r.host == "other.org" or "green" in r.path} == {"allow"}
+
+
 def test_mixing(spark, tmp_path):
     docs = cases.documents(spark).selectExpr("*", "5 copy")
     out = mixing.mix_sources(docs)
@@ -177,7 +196,7 @@ def test_chats(spark):
     assert chat.format_chats(cases.empty(df), Scratch(spark)).count() == 0
 
 
-@pytest.mark.parametrize("name", ["op4_chat", "op6_lines", "op8_mixing"])
+@pytest.mark.parametrize("name", ["op4_chat", "op6_lines", "op7_urls", "op8_mixing"])
 def test_against_sql(spark, name):
     from dependra.llm import queries
 
