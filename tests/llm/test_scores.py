@@ -86,6 +86,39 @@ def test_neighbours(spark):
     assert few.count() == 4 and neighbours.nearest(cases.empty(df), "vec_id = 0", Scratch(spark)).count() == 0
 
 
+def test_cells():
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(size=(3000, 4)), np.zeros((50, 4))])
+    cells = neighbours.Cells(x[::3], 37)
+    inside = lambda c: ((cells.low[c] <= x) & (x < cells.high[c])).all(axis=1)
+    assert (np.array([inside(c) for c in range(len(cells.low))]).argmax(axis=0) == cells.of(x)).all() and len(cells.low) == 37
+    assert (neighbours.Cells(np.zeros((5, 3)), 4).of(x[:, :3]) == 0).all()
+
+
+def test_recall_in_many_blocks(spark):
+    """embeddings against brute force, with so few rows in blocks and cells that there are many of both, and parts of cells."""
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = df.collect()
+    ids, v = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], np.float64)
+    got = neighbours.nearest(df, "vec_id % 20 = 0", Scratch(spark), cell_rows=300, query_rows=20, sample_rows=96).toPandas()
+    hit, order = [], np.argsort(ids)
+    ids, v = ids[order], v[order]
+    for q, g in got.groupby("query_id"):
+        s = v @ v[np.searchsorted(ids, q)]
+        best = [ids[i] for i in np.lexsort((ids, -s)) if ids[i] != q][:20]
+        hit.append(len(set(g.vec_id) & set(best)) / 20)
+        g = g.sort_values("rank")
+        assert np.allclose(g.score, s[np.searchsorted(ids, g.vec_id)], rtol=0, atol=1e-9) and list(g["rank"]) == list(range(1, 21))
+    assert len(hit) == (ids % 20 == 0).sum() and np.mean(hit) > 0.97
+
+
+def test_equal_products_of_different_vectors(spark):
+    """Different vectors of one product with the query: the smaller id first."""
+    rows = [(0, [1.0, 0.0, 0.0])] + [(i, [0.5, float(i % 7), float(i % 5)]) for i in range(1, 60)]
+    got = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id = 0", Scratch(spark), k=70).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == list(range(1, 60)) and {r.score for r in got} == {0.5}
+
+
 def test_chi_square():
     assert abs(neighbours.chi_square_quantile(0.95, 10) - 18.307) < 1e-3 and abs(neighbours.chi_square_quantile(0.5, 2) - 1.3863) < 1e-3
 
