@@ -2,18 +2,21 @@
 
 1. Every window of `length` bytes is owned by the smallest-hashed `gram`-byte string in it, its anchor. Neighbouring windows of one
    anchor are a segment. Equal windows have equal anchors, so a window can only repeat within the rows of one anchor hash.
-2. Segments whose anchor occurs once are done. Segments with equal bytes are counted by a map-side aggregation: those that
-   occur twice repeat as a whole.
+2. Segments whose anchor occurs once are done. Equal segments of one anchor (by a 64-bit hash) are counted by a map-side
+   aggregation, so that copies come to the next step as one string with a number; a string of number 2 or more repeats as a whole.
 3. Distinct segments that share an anchor are cut down to the windows whose rolling hash repeats, and those strings are
-   sorted by a suffix array; neighbours in it with equal first `length` bytes are the repeats. That is exact: bytes decide.
+   sorted by a suffix array; neighbours in it with equal first `length` bytes are the repeats. The hash only leaves out: bytes decide.
 4. Each document's repeats are merged into spans and cut out.
 
-The suffix array is built by linear grouping: suffixes with the same longest Lyndon prefix form a group, groups are ordered by that
-prefix, and within a group suffixes are emitted in the order of what follows the prefix, by walking back over
-previous-smaller pointers from each suffix already emitted; nothing is renamed and nothing recurses.
+The suffix array is built by linear grouping. Suffixes are grouped by their first symbol, and the groups are processed in descending
+order: each suffix of a group points to the last place before it in a smaller group (pointers over greater groups are followed, so that no
+text is compared), and the suffixes pointed to are split off their own groups, the most often pointed to last. Then all suffixes of a
+group have the same longest Lyndon prefix, and one more walk over the pointers emits each group's order; nothing is renamed and
+nothing recurses. Time and memory are linear whatever the text.
 
 An anchor with more than `most` distinct segments isn't brought together: its windows are counted by 128-bit hashes with
-map-side aggregation instead, which gives the same spans and has no bound.
+map-side aggregation instead, which gives the same spans and has no bound. Copies of a segment with more than one of `hot` rows are
+so few kinds (at most `hot`) that they are broadcast to their rows; the others meet theirs by a shuffle.
 
 Defined cases: null texts are empty; texts shorter than `length` keep all bytes. Rows with one doc_id, or none, are documents of their own.
 Matches never cross documents. Other columns pass through; n_bytes, spans and kept are replaced.
@@ -21,6 +24,8 @@ Matches never cross documents. Other columns pass through; n_bytes, spans and ke
 
 from __future__ import annotations
 
+from array import array
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -92,62 +97,78 @@ def segments(data: bytes, length: int, gram: int, rolling: Rolling) -> tuple[np.
     return np.concatenate(starts), np.concatenate(counts), np.concatenate(anchors)
 
 
-def suffix_array(strings: list[bytes]) -> list[tuple[int, int]]:
-    """(string, offset) of all suffixes of all strings in lexicographic order; equal suffixes in any order."""
-    data, ends, offset = b"".join(strings), [], 0
-    for s in strings:
-        offset += len(s)
-        ends.append(offset)
-    n = offset
-    # A suffix's next smaller suffix begins where its longest Lyndon prefix ends; Lyndon words merge from the right.
-    after = [0] * n
-    low = 0
-    for high in ends:
-        for i in range(high - 1, low - 1, -1):
-            j = i + 1
-            while j < high and data[i:j] < data[j : after[j]]:
-                j = after[j]
-            after[i] = j
-        low = high
-    word = [data[i:j] for i, j in enumerate(after)]
-    sizes: dict[bytes, int] = {}
-    for w in word:
-        sizes[w] = sizes.get(w, 0) + 1
-    # The groups in descending order, each with the place where its first suffix goes.
-    front, at = {}, n
-    for w in sorted(sizes, reverse=True):
-        at -= sizes[w]
-        front[w] = at
-    # before[i]: the previous smaller suffix.
-    before, stack = [-1] * n, []
-    for i in range(n):
-        while stack and after[stack[-1]] <= i:
-            stack.pop()
-        if stack:
-            before[i] = stack[-1]
-        stack.append(i)
-    out = [0] * n
-
-    def emit(i: int) -> None:
-        # All suffixes whose Lyndon prefix ends at i come next in their groups.
-        s = i - 1
-        while s >= 0 and after[s] == i:
-            w = word[s]
-            out[front[w]] = s
-            front[w] += 1
-            s = before[s]
-
-    for high in ends:
-        emit(high)
-    inside = bytearray(n + 1)
-    for high in ends:
-        inside[high] = 1
-    for i in out:
-        if not inside[i]:
-            emit(i)
-    where = np.searchsorted(np.array(ends), np.array(out, np.int64), side="right") if n else []
-    begins = [0, *ends]
-    return [(int(k), i - begins[k]) for k, i in zip(where, out)]
+def suffix_order(text: list[int]) -> array:
+    """The places of all suffixes in lexicographic order. text: symbols from 0 to 257, of which the last is the smallest and occurs once."""
+    n = len(text)
+    count = [0] * 258
+    for c in text:
+        count[c] += 1
+    begins, at = [0] * 258, 0
+    for c, k in enumerate(count):
+        begins[c] = at
+        at += k
+    # Groups lie in `order` one after the other; group: where a suffix's group begins, size: by where a group begins.
+    zeros = array("i", bytes(4 * n))
+    group, size, order, place = array("i", [begins[c] for c in text]), zeros[:], zeros[:], zeros[:]
+    for c, k in enumerate(count):
+        if k:
+            size[begins[c]] = k
+    for i, c in enumerate(text):
+        at = begins[c]
+        order[at], place[i] = i, at
+        begins[c] = at + 1
+    smaller = array("i", [-2]) * n  # the last place before a suffix that is in a smaller group; -2: not known yet
+    end = n
+    while end:
+        begin = group[order[end - 1]]
+        named: dict[int, int] = {}
+        for i in order[begin:end]:
+            j = smaller[i]
+            if j == -2:
+                j, passed = i - 1, [i]
+                while j >= 0 and group[j] >= begin:
+                    if smaller[j] != -2:
+                        j = smaller[j]
+                    else:  # of this group, as all greater ones are done
+                        passed.append(j)
+                        j -= 1
+                for x in passed:
+                    smaller[x] = j
+            if j >= 0:
+                named[j] = named.get(j, 0) + 1
+        levels: dict[int, list[int]] = {}
+        for j, k in named.items():
+            levels.setdefault(k, []).append(j)
+        for k in sorted(levels, reverse=True):
+            # To the end of their groups, which become groups of their own behind the rest.
+            for j in levels[k]:
+                size[group[j]] -= 1
+                last, here = group[j] + size[group[j]], place[j]
+                other = order[last]
+                order[last], order[here], place[j], place[other] = j, other, last, here
+            moved = [group[j] + size[group[j]] for j in levels[k]]
+            for j, g in zip(levels[k], moved):
+                group[j] = g
+            for g in moved:
+                size[g] += 1
+        end = begin
+    # Each suffix in order gives the next places of their groups to those that stand before it, back over the pointers.
+    out, front, done = zeros, array("i", range(n)), bytearray(n)
+    out[0], done[n - 1] = n - 1, 1
+    for at in range(n):
+        j = out[at] - 1
+        while j >= 0 and not done[j]:
+            out[front[group[j]]] = j
+            front[group[j]] += 1
+            done[j] = 1
+            j = smaller[j]
+    return out
+
+
+def suffix_array(strings: list[bytes]) -> tuple[bytes, np.ndarray]:
+    """The strings end to end, each with a mark behind it, and the places of all suffixes in order; a mark is smaller than any byte."""
+    text = np.concatenate([np.zeros(0, np.int64), *(x for s in strings for x in (np.frombuffer(s, np.uint8).astype(np.int64) + 2, [1])), [0]])
+    return b"".join(s + b"\0" for s in strings), np.frombuffer(suffix_order(text.tolist()), np.int32)[1:]
 
 
 def repeats(texts: list[bytes], length: int, rolling: Rolling) -> list[np.ndarray]:
@@ -167,17 +188,22 @@ def repeats(texts: list[bytes], length: int, rolling: Rolling) -> list[np.ndarra
             runs.setdefault(texts[k][a : b - 1 + length], []).append((k, a))
         at += c
     strings = list(runs)
-    hit = [np.full(len(s) - length + 1, len(runs[s]) > 1) for s in strings]
-    order = [(k, i) for k, i in suffix_array(strings) if i + length <= len(strings[k])]
+    begins = np.cumsum([0, *(len(s) + 1 for s in strings)])
+    data, order = suffix_array(strings)
+    whole = np.zeros(len(data), bool)  # where a window begins
+    hit = np.zeros(len(data), bool)
+    for s, at in zip(strings, begins.tolist()):
+        whole[at : at + len(s) - length + 1] = True
+        hit[at : at + len(s) - length + 1] = len(runs[s]) > 1
     last = None
-    for k, i in order:
-        now = strings[k][i : i + length]
-        if last is not None and now == last[2]:
-            hit[k][i] = hit[last[0]][last[1]] = True
-        last = (k, i, now)
-    for s, h in zip(strings, hit):
+    for i in order[whole[order]].tolist():
+        now = data[i : i + length]
+        if last is not None and now == last[1]:
+            hit[i] = hit[last[0]] = True
+        last = (i, now)
+    for s, at in zip(strings, begins.tolist()):
         for k, a in runs[s]:
-            out[k][a : a + len(h)] |= h
+            out[k][a : a + len(s) - length + 1] |= hit[at : at + len(s) - length + 1]
     return out
 
 
@@ -189,7 +215,7 @@ def spans_of(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(starts[new].tolist(), reach[np.concatenate([new[1:] - 1, [len(reach) - 1]])].tolist()))
 
 
-def drop_repeated_substrings(docs: DataFrame, scratch: Scratch, length: int = 200, gram: int = 64, most: int = 20_000, keep: list[str] | None = None) -> DataFrame:
+def drop_repeated_substrings(docs: DataFrame, scratch: Scratch, length: int = 200, gram: int = 64, most: int = 20_000, hot: int = 2000, keep: list[str] | None = None) -> DataFrame:
     """docs with n_bytes, spans (array of struct start, end: what was removed) and kept (the remaining bytes)."""
     names = [c for c in (keep if keep is not None else docs.columns) if c not in ("n_bytes", "spans", "kept", "rid__")]
     docs = docs.select(*dict.fromkeys([*names, "doc_id", "text"]))
@@ -219,8 +245,12 @@ def drop_repeated_substrings(docs: DataFrame, scratch: Scratch, length: int = 20
     scratch.drop("segments")
     scratch.collect_garbage()
     kinds = scratch.save(found.groupBy("a", "c").agg(F.count("*").alias("n"), F.min(F.struct("rid", "xm")).alias("e")).selectExpr("a", "c", "n", "e.rid rid", "e.xm xm"), "kinds")
-    # Segments that occur twice repeat as a whole.
-    hits = [found.join(kinds.where("n > 1").select("a", "c"), ["a", "c"], "left_semi").selectExpr("rid", f"shiftright(xm, 20) s", f"shiftright(xm, 20) + (xm & 1048575) - 1 + {length} e")]
+    # Segments that occur twice repeat as a whole. At most `hot` kinds can have more than one of `hot` rows.
+    bound = found.count() / hot
+    few = F.broadcast(kinds.where((F.col("n") > 1) & (F.col("n") > bound)).selectExpr("a a2", "c c2"))
+    same = F.expr("a = a2 and c = c2")
+    whole = found.join(few, same, "left_semi").unionAll(found.join(few, same, "left_anti").join(kinds.where((F.col("n") > 1) & (F.col("n") <= bound)).select("a", "c"), ["a", "c"], "left_semi").select(*found.columns))
+    hits = [whole.selectExpr("rid", "shiftright(xm, 20) s", f"shiftright(xm, 20) + (xm & 1048575) - 1 + {length} e")]
     # Distinct segments of one anchor are compared.
     wide = kinds.groupBy("a").agg(F.count("*").alias("k")).where("k > 1")
     wide = scratch.save(kinds.join(wide, "a").select("a", "n", "k", "rid", "xm"), "wide")
@@ -311,3 +341,15 @@ def _cut_out(docs: DataFrame, names: list[str]) -> DataFrame:
 def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = drop_repeated_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"), Scratch(spark), keep=["doc_id"])
     return out.selectExpr("doc_id", "n_bytes", "n_bytes - octet_length(kept) n_removed", "cast(size(spans) as long) n_spans", "sha2(kept, 256) kept_sha256")
+
+
+OP9_SQL = """
+with d as (select row_number() over () r, doc_id, hex(encode(coalesce(text, ''))) h, strlen(coalesce(text, '')) n from documents),
+w as materialized (select r, p, md5(substr(h, 2 * p + 1, 400)) x from (select r, h, unnest(range(0, n - 199)) p from d where n >= 200)),
+g as (select r, p, lag(p) over (partition by r order by p) l from w where x in (select x from w group by x having count(*) > 1)),
+s as (select r, min(p) s, max(p) + 200 e from (select r, p, count(*) filter (l is null or p > l + 200) over (partition by r order by p) k from g) group by r, k),
+b as (select r, s, e, lag(e, 1, 0) over (partition by r order by s) z from s),
+k as (select r, count(*) n_spans, sum(e - s) n_removed, max(e) e, string_agg(substr(h, 2 * z + 1, 2 * (s - z)), '' order by s) t from b join d using (r) group by r)
+select doc_id, n n_bytes, coalesce(n_removed, 0)::bigint n_removed, coalesce(n_spans, 0) n_spans, sha256(unhex(coalesce(t, '') || substr(h, 2 * coalesce(e, 0) + 1))) kept_sha256
+from d left join k using (r)
+"""

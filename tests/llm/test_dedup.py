@@ -143,10 +143,10 @@ def removed(docs, length):
     return sorted(out)
 
 
-@pytest.mark.parametrize("length,gram,most", [(200, 64, 20_000), (30, 8, 20_000), (200, 64, 2)])
-def test_substrings(spark, length, gram, most):
+@pytest.mark.parametrize("length,gram,most,hot", [(200, 64, 20_000, 2000), (30, 8, 20_000, 3), (200, 64, 2, 2000)])
+def test_substrings(spark, length, gram, most, hot):
     docs = cases.documents(spark).where("doc_id is null or doc_id <> 15" if length == 30 else "true")
-    out = substrings.drop_repeated_substrings(docs, Scratch(spark), length, gram, most)
+    out = substrings.drop_repeated_substrings(docs, Scratch(spark), length, gram, most, hot)
     assert set(docs.columns) <= set(out.columns)
     got = sorted((r.doc_id if r.doc_id is not None else -1, r.n_bytes, sum(s.end - s.start for s in r.spans), len(r.spans), hashlib.sha256(bytes(r.kept)).hexdigest()) for r in out.collect())
     assert got == removed(cases.texts(docs), length)
@@ -156,13 +156,37 @@ def test_substrings_of_nothing(spark):
     assert substrings.drop_repeated_substrings(cases.empty(cases.documents(spark)), Scratch(spark)).count() == 0
 
 
+def test_suffix_order():
+    import random
+
+    rng = random.Random(3)
+    for _ in range(400):
+        text = [rng.randint(1, rng.choice([1, 2, 3, 6])) for _ in range(rng.randint(0, 40))] + [0]
+        assert list(substrings.suffix_order(text)) == sorted(range(len(text)), key=lambda i: text[i:])
+
+
+@pytest.mark.parametrize("text", [[5] * 100_000 + [6], [6] + [5] * 100_000, [5, 6] * 50_000, [3 + i // 500 for i in range(100_000)], [*range(3, 200)] * 500])
+def test_suffix_order_is_linear(text):
+    """Texts whose Lyndon words are as long as they are: copies or comparisons of words would take minutes."""
+    import time
+
+    began = time.time()
+    order = np.array(substrings.suffix_order([*text, 0]))
+    assert time.time() - began < 20 and order[0] == len(text) and len(set(order.tolist())) == len(text) + 1
+    # In order: by first symbol and then by the place of what follows.
+    place = np.argsort(order)
+    key = np.array([*text, 0])[order[1:]] * (len(text) + 2) + place[order[1:] + 1]
+    assert (np.diff(key) > 0).all()
+
+
 def test_suffix_array():
     import random
 
     rng = random.Random(3)
     for _ in range(300):
         strings = [bytes(rng.choices(b"ab" if rng.random() < 0.5 else b"abc\x00", k=rng.randint(1, 14))) for _ in range(rng.randint(1, 5))]
-        order = substrings.suffix_array(strings)
-        got = [strings[k][i:] for k, i in order]
-        assert got == sorted(got) and len(set(order)) == sum(map(len, strings))
-    assert substrings.suffix_array([]) == []
+        data, order = substrings.suffix_array(strings)
+        marks = np.cumsum([len(s) + 1 for s in strings]) - 1
+        symbols = [1 if i in marks else c + 2 for i, c in enumerate(data)]
+        assert [symbols[i:] for i in order] == sorted(symbols[i:] for i in range(len(data)))
+    assert substrings.suffix_array([])[0] == b""
