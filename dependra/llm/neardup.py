@@ -8,10 +8,12 @@ rule out are confirmed on their full sets, rebuilt from the whole texts.
 
 Documents with equal sets make one class, by a map-side aggregation; only classes go on. The members of a band's bucket
 are first linked with the bucket's smallest, which is linear. Then buckets that still hold more than one component
-have all their pairs between components compared in blocks within a task, and only links leave it. So every candidate
-pair is either inside one component already or confirmed. Nothing is capped.
+have all their pairs between components compared in blocks within a task: at first sketches alone, then, with the full sets, those
+members that the sketches leave a partner. Only links leave a task. So every candidate pair is either inside one component
+already or confirmed. Nothing is capped.
 
-With 32 bands of 4 registers a pair at the threshold of 0.8 is missed with a chance below 1e-7.
+Bands are of 4, 2 or 1 registers, the most for which a pair at the threshold is missed with a chance of at most 1e-6 (4 at 0.8: 5e-8).
+At thresholds under 0.11 no width reaches that, and the misses grow.
 
 Defined cases: a text with fewer words than a shingle has the whole sequence as its one shingle; null, empty and blank
 texts have none and are linked with nothing. Rows with one doc_id are linked through it; each is reported. Rows with a null doc_id are
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 
 from dependra.llm.common import Scratch, WordHashes, component_labels, mix, shingles, slices, table, words
 
-REGISTERS, BANDS = 128, 32
+REGISTERS = 128
 BASE, SHIFT, TOP = 1.02, 400, 2400
 
 
@@ -85,6 +87,17 @@ def plausible(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, simi
     return (top >= similarity - 1e-9) & (2 * (ll.max(axis=0) - good) <= slack)
 
 
+def band_width(similarity: float) -> int:
+    """Registers in a band."""
+    return next((w for w in (4, 2) if (1 - similarity**w) ** (REGISTERS // w) <= 1e-6), 1)
+
+
+def band_keys(sketches: bytes, width: int) -> np.ndarray:
+    """The bucket of every band of sketches laid end to end, a row for each sketch."""
+    rows = np.frombuffer(sketches, {4: np.uint64, 2: np.uint32, 1: np.uint16}[width]).reshape(-1, REGISTERS // width).astype(np.uint64)
+    return mix(rows ^ mix(np.arange(1, REGISTERS // width + 1).astype(np.uint64))).view(np.int64)
+
+
 def document_sets(docs: DataFrame, size: int) -> DataFrame:
     """(doc_id, n, set_hash, sketch) of every row; set_hash and sketch are null without a shingle."""
 
@@ -102,17 +115,14 @@ def document_sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, set_hash binary, sketch binary")
 
 
-def _bands(classes: DataFrame) -> DataFrame:
+def _bands(classes: DataFrame, width: int) -> DataFrame:
     """(rep, bucket): one row for every band of a class."""
 
     def run(batches):
-        seeds = mix(np.arange(1, BANDS + 1).astype(np.uint64))
         for b in batches:
-            if not b.num_rows:
-                continue
-            rows = np.frombuffer(b"".join(b.column("sketch").to_pylist()), np.uint64).reshape(b.num_rows, BANDS)
-            keys = mix(rows ^ seeds).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column("rep").to_numpy(), BANDS)), pa.array(keys.reshape(-1))], names=["rep", "bucket"])
+            if b.num_rows:
+                keys = band_keys(b"".join(b.column("sketch").to_pylist()), width)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column("rep").to_numpy(), keys.shape[1])), pa.array(keys.reshape(-1))], names=["rep", "bucket"])
 
     return classes.select("rep", "sketch").mapInArrow(run, "rep long, bucket long")
 
@@ -175,25 +185,73 @@ def grouped(batches, keys: list[str]):
         yield rest
 
 
-def _across(buckets: DataFrame, classes: DataFrame, texts: DataFrame, size: int, similarity: float, block: int = 1024, block_bytes: int = 8_000_000) -> DataFrame:
+_PIECE = ("bucket", "kind", "i", "j")
+_MEMBER = "bucket long, kind int, i int, j int, rep long, comp long, main boolean, blk int, size long, sketch binary"
+
+
+class _Piece:
+    """The members of two blocks of a bucket (of one, if kind is 1 and i = j), and which of them are to be compared."""
+
+    def __init__(self, g: pa.Table, similarity: float, width: int):
+        self.kind, self.i, self.j, self.bucket = (g.column(c)[0].as_py() for c in ("kind", "i", "j", "bucket"))
+        self.rep, label, self.blk, self.n = (g.column(c).to_numpy() for c in ("rep", "comp", "blk", "size"))
+        self.label, self.main = label.copy(), np.array(g.column("main").to_pylist(), bool)
+        raw = b"".join(g.column("sketch").to_pylist())
+        self.s, self.keys = np.frombuffer(raw, np.uint16).reshape(g.num_rows, -1), band_keys(raw, width)
+        self.similarity = similarity
+        # Ten standard deviations below what a pair at the threshold has in common.
+        self.least = (similarity - 10 * np.sqrt(similarity * (1 - similarity) / REGISTERS)) * REGISTERS
+
+    def __iter__(self):
+        return (x for x in range(len(self.rep)) if self.kind or not self.main[x])
+
+    def partners(self, x: int, among: np.ndarray | bool = True) -> np.ndarray:
+        """Those of another component that x is compared with here and that sizes and sketches don't rule out."""
+        ok = (self.label != self.label[x]) & among
+        ok &= self.main if not self.kind else (self.blk > self.blk[x]) if self.i != self.j else (self.rep > self.rep[x])
+        y = np.flatnonzero(ok)
+        # The exact bound by sizes, then the bucket that has the pair (the smallest that it shares), then the sketches.
+        y = y[np.minimum(self.n[y], self.n[x]) >= self.similarity * np.maximum(self.n[y], self.n[x]) - 1e-9]
+        last = np.iinfo(np.int64).max
+        y = y[np.where(self.keys[y] == self.keys[x], self.keys[y], last).min(axis=1, initial=last) == self.bucket]
+        y = y[(self.s[y] == self.s[x]).sum(axis=1) >= self.least]
+        if len(y):
+            y = y[plausible(np.broadcast_to(self.s[x], (len(y), self.s.shape[1])), self.s[y], np.full(len(y), self.n[x]), self.n[y], self.similarity)]
+        return y
+
+
+def _across(buckets: DataFrame, classes: DataFrame, texts: DataFrame, scratch: Scratch, size: int, similarity: float, block: int = 1024) -> DataFrame:
     """Links (a, b) that join the different components within buckets (rep, comp, bucket, size).
 
-    The members of a bucket's largest component and the others are dealt into blocks, of `block` members and block_bytes
-    of sets or so; every pair of blocks with others in it is one piece of a task's work. A pair is looked at in the smallest bucket
-    that it shares: the sketches are compared first, then the full sets. As soon as two components are linked, their other
-    pairs are left out, so a piece emits fewer rows than it has components.
+    The members of a bucket's largest component and the others are dealt into blocks of `block` or so; every pair of blocks
+    with others in it is one piece of a task's work. First the pieces get ids and sketches, and only the members that have a
+    possible partner in a piece stay in it. Then the full sets of these come along. A pair is looked at in the smallest bucket that it
+    shares. As soon as two components are linked, their other pairs are left out, so a piece emits fewer rows than it has components.
     """
-    percent = round(similarity * 100)
-    counts = buckets.groupBy("bucket", "comp").agg(F.count("*").alias("k"), F.sum("size").alias("w"), F.expr("bit_xor(xxhash64(rep))").alias("who"))
-    open_ = counts.groupBy("bucket").agg(F.sum("k").alias("n"), F.sum("w").alias("w"), F.max(F.struct("k", "comp", "w")).alias("m"), F.expr("bit_xor(who)").alias("who"), F.count("*").alias("comps")).where("comps > 1")
+    percent, width = round(similarity * 100), band_width(similarity)
+    counts = buckets.groupBy("bucket", "comp").agg(F.count("*").alias("k"), F.expr("bit_xor(xxhash64(rep))").alias("who"))
+    open_ = counts.groupBy("bucket").agg(F.sum("k").alias("n"), F.max(F.struct("k", "comp")).alias("m"), F.expr("bit_xor(who)").alias("who"), F.count("*").alias("comps")).where("comps > 1")
     # Buckets with the same members need one look: at the smallest.
-    open_ = open_.groupBy("who", "n", "w", "m").agg(F.min("bucket").alias("bucket"))
-    blocks = f"cast(greatest(ceil(({{0}}) / {block}), ceil(8 * ({{1}}) / {block_bytes})) as int)"
-    open_ = open_.selectExpr("bucket", "m.comp most", f"{blocks.format('m.k', 'm.w')} na", f"{blocks.format('n - m.k', 'w - m.w')} nb")
+    open_ = open_.groupBy("who", "n", "m").agg(F.min("bucket").alias("bucket"))
+    open_ = open_.selectExpr("bucket", "m.comp most", f"cast(ceil(m.k / {block}) as int) na", f"cast(ceil((n - m.k) / {block}) as int) nb")
     rows = buckets.join(open_, "bucket").withColumn("main", F.expr("comp = most")).withColumn("blk", F.expr("cast(pmod(xxhash64(rep), if(main, na, nb)) as int)"))
+    rows = rows.join(classes.selectExpr("rep r2", "sketch"), F.expr("rep = r2"))
     rows = rows.withColumn("at", F.expr("""explode(if(main, transform(sequence(0, nb - 1), o -> named_struct('kind', 0, 'i', blk, 'j', o)),
         concat(transform(sequence(0, na - 1), o -> named_struct('kind', 0, 'i', o, 'j', blk)), transform(sequence(0, nb - 1), o -> named_struct('kind', 1, 'i', least(blk, o), 'j', greatest(blk, o))))))"""))
-    rows = rows.select("rep", "comp", "bucket", "size", "main", "blk", "at.*")
+    rows = rows.select("bucket", "at.*", "rep", "comp", "main", "blk", "size", "sketch")
+
+    def possible(batches):
+        for g in grouped(batches, list(_PIECE)):
+            piece, stay = _Piece(g, similarity, width), np.zeros(g.num_rows, bool)
+            for x in piece:
+                y = piece.partners(x, ~stay if stay[x] else True)  # who stays needs no second partner
+                if len(y):
+                    stay[x] = stay[y] = True
+            yield from g.filter(pa.array(stay)).combine_chunks().to_batches()
+
+    names = [f.split()[0] for f in _MEMBER.split(", ")]
+    dealt = rows.select(*names).repartition(*_PIECE).sortWithinPartitions(*_PIECE)
+    near = scratch.save(dealt.mapInArrow(possible, _MEMBER), "near")
 
     def sets(batches):
         hashes = WordHashes()
@@ -201,48 +259,26 @@ def _across(buckets: DataFrame, classes: DataFrame, texts: DataFrame, size: int,
             full = [shingles(hashes.of(words(t)), size).tobytes() for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(full, pa.binary())], names=["r3", "full"])
 
-    few = texts.join(rows.select("rep").distinct(), F.expr("doc_id = rep"), "left_semi").select("doc_id", "text").mapInArrow(sets, "r3 long, full binary")
-    rows = rows.join(classes.selectExpr("rep r2", "sketch"), F.expr("rep = r2")).join(few, F.expr("rep = r3"))
-    rows = rows.select("bucket", "kind", "i", "j", "rep", "comp", "main", "blk", "size", "sketch", "full")
-    seeds = mix(np.arange(1, BANDS + 1).astype(np.uint64))
+    few = texts.join(near.select("rep").distinct(), F.expr("doc_id = rep"), "left_semi").select("doc_id", "text").mapInArrow(sets, "r3 long, full binary")
 
-    def run(batches):
-        last = np.iinfo(np.int64).max
-        for g in grouped(batches, ["bucket", "kind", "i", "j"]):
-            k = g.num_rows
-            bucket, kind, i, j = (g.column(c)[0].as_py() for c in ("bucket", "kind", "i", "j"))
-            rep, label, blk, n = (g.column(c).to_numpy() for c in ("rep", "comp", "blk", "size"))
-            label, main = label.copy(), np.array(g.column("main").to_pylist(), bool)
-            full = g.column("full")
-            raw = b"".join(g.column("sketch").to_pylist())
-            s = np.frombuffer(raw, np.uint16).reshape(k, -1)
-            keys = mix(np.frombuffer(raw, np.uint64).reshape(k, BANDS) ^ seeds).view(np.int64)
-            out = []
-            for x in range(k):
-                if kind == 0 and main[x]:
-                    continue
-                ok = label != label[x]
-                ok &= main if kind == 0 else ((blk > blk[x]) if i != j else (rep > rep[x]))
-                y = np.flatnonzero(ok)
-                # The exact bound by sizes, then the bucket that has the pair, then the sketches.
-                y = y[np.minimum(n[y], n[x]) >= similarity * np.maximum(n[y], n[x]) - 1e-9]
-                y = y[np.where(keys[y] == keys[x], keys[y], last).min(axis=1, initial=last) == bucket]
-                y = y[(s[y] == s[x]).sum(axis=1) >= 0.45 * s.shape[1]]
-                if len(y):
-                    y = y[plausible(np.broadcast_to(s[x], (len(y), s.shape[1])), s[y], np.full(len(y), n[x]), n[y], similarity)]
+    def confirmed(batches):
+        for g in grouped(batches, list(_PIECE)):
+            piece, full, out = _Piece(g, similarity, width), g.column("full"), []
+            for x in piece:
+                y = piece.partners(x)
                 mine = np.frombuffer(full[x].as_py(), np.uint64) if len(y) else None
                 for z in y.tolist():
-                    if label[z] == label[x]:
+                    if piece.label[z] == piece.label[x]:
                         continue
                     both = len(np.intersect1d(mine, np.frombuffer(full[z].as_py(), np.uint64), assume_unique=True))
-                    if 100 * both >= percent * (n[x] + n[z] - both):
-                        out.append((int(min(rep[x], rep[z])), int(max(rep[x], rep[z]))))
-                        label[label == label[z]] = label[x]
+                    if 100 * both >= percent * (piece.n[x] + piece.n[z] - both):
+                        out.append(sorted((int(piece.rep[x]), int(piece.rep[z]))))
+                        piece.label[piece.label == piece.label[z]] = piece.label[x]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([p[q] for p in out], pa.int64()) for q in (0, 1)], names=["a", "b"])
 
-    dealt = rows.repartition("bucket", "kind", "i", "j").sortWithinPartitions("bucket", "kind", "i", "j")
-    return dealt.mapInArrow(run, "a long, b long")
+    dealt = near.join(few, F.expr("rep = r3")).select(*names, "full").repartition(*_PIECE).sortWithinPartitions(*_PIECE)
+    return dealt.mapInArrow(confirmed, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, scratch: Scratch, size: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -256,7 +292,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, size: int = 5, similarity
     twice = some.groupBy("doc_id").agg(F.count_distinct("set_hash").alias("k")).where("k > 1").limit(1).count() > 0
     if twice:
         return _with_repeated_ids(docs, scratch, size, similarity)
-    buckets = scratch.save(_bands(classes).distinct(), "bands")
+    buckets = scratch.save(_bands(classes, band_width(similarity)).distinct(), "bands")
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.min("rep").alias("low")).where("n > 1")
     shared = scratch.save(buckets.join(shared, "bucket"), "shared")
     scratch.drop("bands")
@@ -270,10 +306,14 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, size: int = 5, similarity
     comps = scratch.save(component_labels(scratch, nodes, links, "cc1"), "comps1")
     held = shared.join(comps.selectExpr("id rep", "component comp"), "rep").join(classes.selectExpr("rep r1", "n size"), F.expr("rep = r1"))
     held = scratch.save(held.select("rep", "comp", "bucket", "size"), "held")
-    more = scratch.save(_across(held, classes, texts, size, similarity).distinct(), "more")
-    scratch.collect_garbage()
+    scratch.drop("shared")
+    more = scratch.save(_across(held, classes, texts, scratch, size, similarity).distinct(), "more")
     if more.limit(1).count():
-        comps = scratch.save(component_labels(scratch, nodes, links.unionAll(more), "cc2"), "comps2")
+        # Carried on from the first components.
+        comps = scratch.save(component_labels(scratch, nodes, comps.where("id <> component").selectExpr("id a", "component b").unionAll(more), "cc2"), "comps2")
+    for name in ("links", "held", "texts", "near", "more"):
+        scratch.drop(name)
+    scratch.collect_garbage()
     named = classes.select("set_hash", "rep").join(comps, F.expr("rep = id")).selectExpr("set_hash h", "component")
     out = rows.select("doc_id", "n", "set_hash").join(named, F.expr("set_hash = h and doc_id is not null"), "left")
     return out.selectExpr("doc_id", "n n_shingles", "coalesce(component, doc_id) component_id", "coalesce(doc_id = coalesce(component, doc_id), true) kept")
@@ -310,6 +350,22 @@ def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), Scratch(spark), size=2)
 
 
+OP3_SQL = """
+with recursive w as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') ws from documents),
+s as materialized (select doc_id, list_sort(list_distinct(case when len(ws) < 2 then list_transform(ws, lambda x: x) else list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) end)) ss from w),
+c as materialized (select min(doc_id) rep, ss, len(ss) n from s where len(ss) > 0 group by ss),
+u as materialized (select rep, n, unnest(ss) x from c),
+f as (select x, count(*) df from u group by x),
+p as materialized (select rep, n, x from (select rep, n, u.x, row_number() over (partition by rep order by df, u.x) i from u join f on u.x = f.x) where i <= n - ceil(0.8 * n) + 1),
+pairs as materialized (select distinct a.rep a, b.rep b, a.n na, b.n nb from p a join p b on a.x = b.x and a.rep < b.rep and 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)),
+e as materialized (select a, b from pairs join u x on x.rep = a join u y on y.rep = b and y.x = x.x group by a, b, na, nb having 100 * count(*) >= 80 * (na + nb - count(*))),
+r(a, b) as (select rep, rep from c union select r.a, g.b from r join (select a, b from e union all select b, a from e) g on r.b = g.a),
+m as (select a rep, min(b) low from r group by a)
+select s.doc_id, len(s.ss) n_shingles, coalesce(low, s.doc_id) component_id, s.doc_id = coalesce(low, s.doc_id) kept
+from s left join c on s.ss = c.ss left join m on m.rep = c.rep
+"""
+
+
 def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (5-word shingles, similarity 0.8) stays."""
     return drop_near_duplicates(docs, Scratch(spark))

@@ -11,7 +11,7 @@ from dependra.llm.common import Scratch, component_labels
 from tests.llm import cases
 
 
-def components(docs, size):
+def components(docs, size, percent=80):
     """doc_id -> (sizes, component), all pairs compared on full sets."""
     sets = []
     for i, t in docs:
@@ -27,7 +27,7 @@ def components(docs, size):
 
     for i, a in sets:
         for j, b in sets:
-            if i is not None and j is not None and a and b and 100 * len(a & b) >= 80 * len(a | b):
+            if i is not None and j is not None and a and b and 100 * len(a & b) >= percent * len(a | b):
                 x, y = sorted((find(i), find(j)))
                 top[y] = x
     return sorted(((i if i is not None else -1, len(s), find(i) if i is not None else -1) for i, s in sets))
@@ -67,6 +67,24 @@ def test_large_groups_of_edits(spark):
     assert got == components(rows, 2)
 
 
+@pytest.mark.parametrize("percent", [30, 55, 95])
+def test_other_similarities(spark, percent):
+    """Bands and filters follow the threshold."""
+    import random
+
+    rng, rows = random.Random(percent), []
+    for g in range(12):
+        base = cases.prose(g, 80).split()
+        for k in range(25):
+            w = list(base)
+            for _ in range(rng.randrange(0, 34)):
+                w[rng.randrange(len(w))] = f"edit{rng.randrange(10**6)}"
+            rows.append((g * 1000 + k, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in neardup.near_duplicates(docs, Scratch(spark), 2, percent / 100).collect())
+    assert got == components(rows, 2, percent)
+
+
 def test_drop_near_duplicates(spark):
     docs = cases.documents(spark)
     out = neardup.drop_near_duplicates(docs, Scratch(spark))
