@@ -196,7 +196,21 @@ def drop_leaking(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8,
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "question_overlap", "answer_overlap")
+
+
+#: Without retrieval: all overlaps of all items with all documents.
+OP5_SQL = """
+with i as (select item_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+') ws from benchmark),
+q as (select item_id, p, case when p = 0 or len(ws) < 3 then ws[1:len(ws) - len(ws) // 3] else ws[len(ws) - len(ws) // 3 + 1:] end ws from i, (select unnest([0, 1]) p) where len(ws) > 0),
+g as materialized (select item_id, p, least(5, len(ws)) k, list_distinct(list_transform(range(0, len(ws) - least(5, len(ws)) + 1), lambda j: array_to_string(ws[j + 1:j + least(5, len(ws))], ' '))) gs from q),
+need as (select item_id, p, k, unnest(gs) x from g),
+d as (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+') ws from documents),
+have as materialized (select distinct doc_id, k, array_to_string(ws[j + 1:j + k], ' ') x from (select doc_id, ws, k, unnest(range(0, len(ws) - k + 1)) j from d, (select distinct k from g)) where (k, array_to_string(ws[j + 1:j + k], ' ')) in (select (k, x) from need)),
+o as (select doc_id, g.item_id, g.p, count(*) / any_value(len(gs)) overlap from have join need on have.k = need.k and have.x = need.x join g on g.item_id = need.item_id and g.p = need.p group by all)
+select a.doc_id, a.item_id, a.overlap question_overlap, b.overlap answer_overlap from o a join o b on a.doc_id = b.doc_id and a.item_id = b.item_id and a.p = 0 and b.p = 1 where a.overlap >= 0.8 and b.overlap >= 0.8
+"""
 
 
 def leak_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,9 +16,11 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op3_neardup": neardup.OP3_SQL,
     "op4_chat": chat.OP4_SQL,
-    "op5_decontaminate": decontaminate.op5_decontaminate,
+    "op5_decontaminate": decontaminate.OP5_SQL,
     "op6_lines": lines.OP6_SQL,
     "op7_urls": urls.OP7_SQL,
     "op8_mixing": mixing.OP8_SQL,
+    "op9_substrings": substrings.OP9_SQL,
 }

@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from dependra.llm import chat, decontaminate, language, mixing, neighbours, quality, urls
+from dependra.llm import chat, decontaminate, language, mixing, neighbours, quality, queries, urls
 from dependra.llm.common import Scratch
 from tests.helpers import oracle, rows_of
 from tests.llm import cases
@@ -229,10 +229,9 @@ def test_chats(spark):
     assert chat.format_chats(cases.empty(df), Scratch(spark)).count() == 0
 
 
-@pytest.mark.parametrize("name", ["op4_chat", "op6_lines", "op7_urls", "op8_mixing"])
+@pytest.mark.parametrize("name", list(queries.ORACLES))
 def test_against_sql(spark, name):
-    from dependra.llm import queries
-
+    assert isinstance(queries.ORACLES[name], str)
     got, want = queries.QUERIES[name](spark, "/root/testdata/sf0.001").toPandas(), oracle(queries.ORACLES[name], "sf0.001")
     assert sorted(got.columns) == sorted(want.columns) and rows_of(got, got.columns) == rows_of(want, want.columns)
 
