@@ -2,14 +2,19 @@
 
 Items are indexed in units of at most unit_words words. A training text is cut into passages of three strides (so that any unit
 lies whole in some passage). A unit's BM25 impacts are divided by its score for itself: a passage that holds the
-unit scores 1, and all units above `threshold` are retrieved. Postings are kept by blocks of units with each block's
-largest impact of a term, and block bounds are added up for all passages at once; units are scored exactly only in the blocks whose
-bound reaches the threshold (block-max WAND: nothing above the threshold is missed). A retrieved item counts as leaked if
+unit scores 1, and all units above `threshold` are retrieved. Units are sorted by length and lie in blocks; a term's postings are its
+blocks in order, each with the block's largest impact, and with the largest impact from there on. All passages of a slice of text go through
+block-max WAND side by side: of a passage's terms, sorted by the block that their cursors stand at, the first with which the
+impacts still to come reach the threshold names the pivot block; the cursors before it skip to it; only if the block's own
+largest impacts reach the threshold too are its units scored. Nothing above the threshold is missed. A retrieved item counts as leaked if
 `similarity` of the 5-word shingles of its question and as much of those of its answer occur in the document. Benchmarks with
 one text have its first two thirds as the question, the rest as the answer.
 
-The index is shipped to the executors. It is cut into shards of a bounded number of words, so a larger benchmark means more
-passes, not a larger broadcast; document frequencies are those of the whole benchmark.
+An item that is scattered over a document, so that no passage holds `threshold` of the weight of one of its units, isn't retrieved and not
+reported, however much of it the document has in all.
+
+The index is cut into shards of a bounded number of words, built and sent to the executors one after the other, so a larger benchmark
+means more passes, not a larger index; document frequencies are those of the whole benchmark.
 
 Words are runs of letters and digits, lower-cased. Defined cases: null and empty texts, and texts or items without a word,
 match nothing; a part with fewer than 5 words is one shingle. Repeated items are each reported, items with a null id by it; rows with one doc_id are
@@ -25,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dependra.llm.common import table, slices, with_python
+from dependra.llm.common import Scratch, slices, table, with_python
 
 WORD = re.compile(r"[^\W_]+")
 
@@ -39,6 +44,13 @@ def grams(words: list[str], size: int = 5) -> set[tuple]:
     return {tuple(words[i : i + size]) for i in range(len(words) - size + 1)} if words else set()
 
 
+class Terms(dict):
+    """Numbers of words; -1 for any other."""
+
+    def __missing__(self, word: str) -> int:
+        return -1
+
+
 class BlockMaxIndex:
     """Postings of one shard; rows are (item_id, words)."""
 
@@ -49,7 +61,7 @@ class BlockMaxIndex:
             n = -(-len(ws) // unit_words)
             units += [(at, ws[i * len(ws) // n : (i + 1) * len(ws) // n]) for i in range(n)]
         units.sort(key=lambda u: (len(u[1]), u[1], u[0]))  # like units share blocks, which keeps the bounds tight
-        self.terms: dict[str, int] = {}
+        self.terms = Terms()
         self.units: list[tuple[int, dict[int, float]]] = []
         for at, ws in units:
             tf: dict[str, int] = {}
@@ -59,59 +71,77 @@ class BlockMaxIndex:
             own = sum(raw.values())
             self.units.append((at, {self.terms.setdefault(w, len(self.terms)): v / own for w, v in raw.items()}))
         self.n_blocks = -(-len(self.units) // block)
-        most: list[dict[int, float]] = [{} for _ in range(self.n_blocks)]
-        for i, (_, impacts) in enumerate(self.units):
-            for t, v in impacts.items():
-                most[i // block][t] = max(most[i // block].get(t, 0), v)
-        # Terms in most blocks are taken to be in every passage: their impacts go into a constant of the unit.
-        in_blocks = np.zeros(len(self.terms), np.int64)
-        for m in most:
-            for t in m:
-                in_blocks[t] += 1
-        common = in_blocks > max(4, self.n_blocks * 0.6)
-        self.rest = np.zeros(self.n_blocks)
-        for i, (_, impacts) in enumerate(self.units):
-            self.rest[i // block] = max(self.rest[i // block], sum(v for t, v in impacts.items() if common[t]))
-        posts = sorted((t, n, v) for n, m in enumerate(most) for t, v in m.items() if not common[t])
-        self.post_block = np.array([p[1] for p in posts], np.int64)
-        self.post_most = np.array([p[2] for p in posts])
-        counts = np.bincount(np.array([p[0] for p in posts], np.int64), minlength=len(self.terms)) if posts else np.zeros(len(self.terms), np.int64)
-        self.start = np.concatenate([[0], np.cumsum(counts)])
+        posts = sorted((t, i, v) for i, (_, impacts) in enumerate(self.units) for t, v in impacts.items())
+        term, self.post_unit = (np.array([p[k] for p in posts], np.int64) for k in (0, 1))
+        self.post_impact = np.array([p[2] for p in posts], float)
+        # Block postings: key (term, block), where their units' postings begin, the largest impact, and the largest from here on.
+        self.key, self.first = np.unique(term * self.n_blocks + self.post_unit // block, return_index=True) if posts else (np.zeros(0, np.int64),) * 2
+        self.first = np.append(self.first, len(posts))
+        self.most = np.maximum.reduceat(self.post_impact, self.first[:-1]) if posts else np.zeros(0)
+        self.ahead = self.most.copy()
+        for c in range(len(self.key) - 2, -1, -1):
+            if self.key[c] // self.n_blocks == self.key[c + 1] // self.n_blocks:
+                self.ahead[c] = max(self.ahead[c], self.ahead[c + 1])
 
     def search(self, texts: list[list[str]]) -> list[tuple[int, int, int, float]]:
         """(text, item, first word of the passage, score): each retrieved item's best passage."""
-        if not self.units:
-            return []
-        get, s = self.terms.get, self.stride
-        ids = [np.fromiter((get(w, -1) for w in ws), np.int64, len(ws)) for ws in texts]
+        s, n_terms, n_blocks = self.stride, max(1, len(self.terms)), self.n_blocks
+        ids = [np.fromiter(map(self.terms.__getitem__, ws), np.int64, len(ws)) for ws in texts]
         n_strides = np.array([-(-len(x) // s) for x in ids], np.int64)
         first = np.concatenate([[0], np.cumsum(n_strides)])
-        if not first[-1]:
+        if not self.units or not first[-1]:
             return []
-        tok = np.concatenate(ids)
+        term = np.concatenate(ids)
         own = np.concatenate([first[i] + np.arange(len(x)) // s for i, x in enumerate(ids)])
-        hit = np.flatnonzero(tok >= 0)
-        tok, own = tok[hit], own[hit]
-        count = self.start[tok + 1] - self.start[tok]
-        at = np.repeat(self.start[tok] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum()) if len(tok) else np.zeros(0, np.int64)
-        bound = np.bincount(np.repeat(own, count) * self.n_blocks + self.post_block[at], self.post_most[at], first[-1] * self.n_blocks).reshape(first[-1], self.n_blocks)
-        total = bound.copy()
-        text_of = np.repeat(np.arange(len(texts)), n_strides)
-        for k in (1, 2):
-            if len(bound) > k:
-                total[:-k] += bound[k:] * (text_of[k:] == text_of[:-k])[:, None]
+        begins = np.repeat(first[:-1], n_strides)  # the first stride of a stride's text
+        term, own = term[term >= 0], own[term >= 0]
+        keys = [own * n_terms + term] + [((own - k) * n_terms + term)[own - k >= begins[own]] for k in (1, 2)]
+        passage, term = np.divmod(np.unique(np.concatenate(keys)), n_terms)
+        at = np.searchsorted(self.key, term * n_blocks)  # cursors, at each term's first block
+        least, hits = self.threshold - 1e-9, []
+        while len(at):
+            block = self.key[at] - term * n_blocks
+            order = np.argsort(passage * n_blocks + block, kind="stable")
+            passage, term, at, block = passage[order], term[order], at[order], block[order]
+            new = np.concatenate([[True], passage[1:] != passage[:-1]])
+            total = np.cumsum(self.ahead[at])
+            start = np.flatnonzero(new)
+            run = np.cumsum(new) - 1
+            reached = total - (total[start] - self.ahead[at[start]])[run] >= least
+            pivot = np.full(len(start), -1)
+            firsts = np.flatnonzero(reached & np.concatenate([[True], ~reached[:-1] | new[1:]]))
+            pivot[run[firsts]] = block[firsts]
+            # Passages without a pivot are done; cursors before it skip to the first block that isn't.
+            goes = pivot[run] >= 0
+            passage, term, at, aim, run = passage[goes], term[goes], at[goes], pivot[run][goes], run[goes]
+            at = np.where(block[goes] < aim, np.searchsorted(self.key, term * n_blocks + aim), at)
+            there = np.zeros(len(at), bool)
+            inside = at < len(self.key)
+            there[inside] = self.key[at[inside]] == (term * n_blocks + aim)[inside]
+            bound = np.bincount(run[there], self.most[at[there]], len(start))
+            take = there & (bound[run] >= least)
+            if take.any():
+                hits.append((passage[take] * n_blocks + aim[take], at[take]))
+            at = at + there
+            inside = at < len(self.key)
+            inside[inside] = self.key[at[inside]] // n_blocks == term[inside]
+            passage, term, at = passage[inside], term[inside], at[inside]
+        if not hits:
+            return []
+        # The units of the blocks that are left, all at once.
+        where, at = (np.concatenate(x) for x in zip(*hits))
+        where, which = np.unique(where, return_inverse=True)
+        count = self.first[at + 1] - self.first[at]
+        posts = np.repeat(self.first[at] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
+        scores = np.bincount(np.repeat(which, count) * self.block + self.post_unit[posts] % self.block, self.post_impact[posts], len(where) * self.block)
         found: dict[tuple[int, int], tuple[float, int]] = {}
-        last, here = -1, set()
-        for w, blk in np.argwhere(total + self.rest >= self.threshold - 1e-9):
-            t = int(text_of[w])
-            begin = int(w - first[t]) * s
-            if w != last:
-                last, here = w, set(ids[t][begin : begin + 3 * s].tolist())
-            for item, impacts in self.units[blk * self.block : (blk + 1) * self.block]:
-                score = sum(v for term, v in impacts.items() if term in here)
-                if score >= self.threshold and score > found.get((t, item), (0, 0))[0]:
-                    found[t, item] = (score, begin)
-        return [(t, item, begin, score) for (t, item), (score, begin) in found.items()]
+        for h in np.flatnonzero(scores >= self.threshold).tolist():
+            passed, blk = divmod(int(where[h // self.block]), n_blocks)
+            item = self.units[blk * self.block + h % self.block][0]
+            t = int(np.searchsorted(first, passed, side="right")) - 1
+            best = (float(scores[h]), -(passed - int(first[t])) * s)
+            found[t, item] = max(found.get((t, item), best), best)
+        return [(t, item, -begin, score) for (t, item), (score, begin) in found.items()]
 
     def leaks(self, texts: list[str | None], similarity: float = 0.8) -> list[tuple[int, int, int, float, float, float]]:
         """(text, item_id, passage, score, question overlap, answer overlap) of what search() retrieves and overlap confirms."""
@@ -132,8 +162,8 @@ class BlockMaxIndex:
         return out
 
 
-def build_indexes(benchmark: DataFrame, shard_words: int = 200_000, **options) -> list[BlockMaxIndex]:
-    """One index for every shard_words words or so of the benchmark's items."""
+def indexes(benchmark: DataFrame, shard_words: int = 200_000, **options):
+    """One index after the other, for every shard_words words or so of the benchmark's items."""
 
     def split(parts):
         for b in parts:
@@ -141,29 +171,25 @@ def build_indexes(benchmark: DataFrame, shard_words: int = 200_000, **options) -
 
     items = benchmark.select("item_id", "text").mapInArrow(split, "item_id long, ws array<string>").where("size(ws) > 0")
     n, total = items.agg(F.count("*"), F.sum(F.size("ws"))).first()
-    if not n:
-        return []
-    shards = -(-total // shard_words)
+    shards = -(-(total or 0) // shard_words)
     shard = F.expr(f"pmod(xxhash64(item_id, ws), {shards})")
     df = items.select(F.explode(F.array_distinct("ws")).alias("w")).groupBy("w").agg(F.count("*").alias("df"))
-    out = []
     for k in range(shards):
         own = items.where(shard == k)
         used = own.select(F.explode("ws").alias("w")).distinct()
         counts = {r[0]: r[1] for r in (df if shards == 1 else df.join(used, "w", "left_semi")).collect()}  # at most shard_words
-        out.append(BlockMaxIndex(sorted(((r[0], list(r[1])) for r in own.collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1])), counts, n, total / n, **options))
-    return out
+        yield k == shards - 1, BlockMaxIndex(sorted(((r[0], list(r[1])) for r in own.collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1])), counts, n, total / n, **options)
 
 
 _LEAK = "doc_id long, item_id long, passage int, score double, question_overlap double, answer_overlap double"
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, **options) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, similarity: float = 0.8, **options) -> DataFrame:
     """(doc_id, item_id, passage, score, question_overlap, answer_overlap): an item's best passage in each document that leaks it."""
     names = [f.split()[0] for f in _LEAK.split(", ")]
     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.float64()]
     out = None
-    for index in build_indexes(benchmark, **options):
+    for n, (last, index) in enumerate(indexes(benchmark, **options)):
 
         def run(batches, index=index):
             for part in slices(batches):
@@ -172,6 +198,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, *
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
 
         one = docs.select("doc_id", "text").mapInArrow(run, _LEAK)
+        if n or not last:  # of several shards, each one's leaks are written before the next is built
+            one = scratch.save(one, f"leaks_{n}")
         out = one if out is None else out.unionAll(one)
     if out is None:
         return docs.sparkSession.createDataFrame([], _LEAK)
@@ -179,10 +207,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, *
     return out.groupBy("doc_id", "item_id").agg(best).selectExpr("doc_id", "item_id", "-m.at passage", "m.score score", "m.question_overlap question_overlap", "m.answer_overlap answer_overlap")
 
 
-def drop_leaking(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, **options) -> DataFrame:
+def drop_leaking(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, similarity: float = 0.8, **options) -> DataFrame:
     """docs without those that leak an item; one pass over the text for each shard, without a join."""
     columns = docs.columns
-    for index in build_indexes(benchmark, **options):
+    for n, (last, index) in enumerate(indexes(benchmark, **options)):
 
         def make(index=index):
             def fn(batch):
@@ -192,11 +220,14 @@ def drop_leaking(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8,
             return fn
 
         docs = with_python(docs, make, "leaked__ boolean").where("not leaked__").select(*columns)
+        if not last:
+            docs = scratch.save(docs, f"clean_{n}")
+            scratch.drop(f"clean_{n - 1}")
     return docs
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), Scratch(spark))
     return found.select("doc_id", "item_id", "question_overlap", "answer_overlap")
 
 
@@ -215,4 +246,4 @@ select a.doc_id, a.item_id, a.overlap question_overlap, b.overlap answer_overlap
 
 def leak_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that leak a benchmark item go."""
-    return drop_leaking(docs, table(spark, sf_dir, "benchmark"))
+    return drop_leaking(docs, table(spark, sf_dir, "benchmark"), Scratch(spark))

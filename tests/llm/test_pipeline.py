@@ -27,7 +27,7 @@ def test_pipeline(spark):
         assert rows["lines"][i] == "\n".join(x for x in t.split("\n") if often.get(x.strip(lines.BLANK).lower(), i) == i)
     assert set(rows["near_duplicates"]) == {i for i, _, c in components(sorted(rows["lines"].items()), 5) if i == c}
     bench = spark.read.parquet(f"{sf}/benchmark.parquet")
-    leaks = {r.doc_id for r in decontaminate.find_leaks(kept["near_duplicates"], bench).collect()}
+    leaks = {r.doc_id for r in decontaminate.find_leaks(kept["near_duplicates"], bench, scratch).collect()}
     assert set(rows["decontamination"]) == set(rows["near_duplicates"]) - leaks
     assert set(rows["mixing"]) <= set(rows["decontamination"]) and kept["mixing"].count() > 0.6 * len(rows["decontamination"])
     assert neardup.near_duplicates(kept["near_duplicates"], Scratch(spark)).where("not kept").count() == 0

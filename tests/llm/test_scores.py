@@ -136,11 +136,11 @@ def test_decontamination(spark):
     want |= {(302, 8)}
     df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "3 item_id")
     for words in (200_000, 300):
-        got = decontaminate.find_leaks(df, bench, shard_words=words).collect()
+        got = decontaminate.find_leaks(df, bench, Scratch(spark), shard_words=words).collect()
         assert {(r.doc_id, r.item_id) for r in got} == want and len(got) == len(want)
-    kept = decontaminate.drop_leaking(df, bench)
-    assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {d for d, _ in docs} - {d for d, _ in want}
-    assert decontaminate.find_leaks(df, cases.empty(bench)).count() == 0 and decontaminate.find_leaks(cases.empty(df), bench).count() == 0
+        kept = decontaminate.drop_leaking(df, bench, Scratch(spark), shard_words=words)
+        assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {d for d, _ in docs} - {d for d, _ in want}
+    assert decontaminate.find_leaks(df, cases.empty(bench), Scratch(spark)).count() == 0 and decontaminate.find_leaks(cases.empty(df), bench, Scratch(spark)).count() == 0
 
 
 def test_block_max_misses_nothing():
@@ -151,16 +151,19 @@ def test_block_max_misses_nothing():
     for _, ws in items:
         for w in set(ws):
             df[w] = df.get(w, 0) + 1
-    index = decontaminate.BlockMaxIndex(items, df, 70, 30.0, threshold=0.35)
-    texts = [rng.choices(vocabulary, k=rng.randint(0, 200)) for _ in range(40)]
-    want = set()
-    for t, ws in enumerate(texts):
-        for begin in range(0, len(ws), 32):
-            here = set(ws[begin : begin + 96])
-            for item, impacts in index.units:
-                if sum(v for term, v in impacts.items() if [x for x, k in index.terms.items() if k == term][0] in here) >= 0.35:
-                    want.add((t, item))
-    assert {(t, i) for t, i, _, _ in index.search(texts)} == want and want
+    texts = [rng.choices(vocabulary, k=rng.randint(0, 200)) for _ in range(40)] + [["strange"] * 70, []]
+    for threshold, block in ((0.35, 16), (0.6, 4), (0.2, 1), (0.9, 100)):
+        index = decontaminate.BlockMaxIndex(items, df, 70, 30.0, threshold=threshold, block=block)
+        names, want = {k: x for x, k in index.terms.items()}, {}
+        for t, ws in enumerate(texts):
+            for begin in range(0, len(ws), 32):
+                here = set(ws[begin : begin + 96])
+                for item, impacts in index.units:
+                    score = sum(v for term, v in impacts.items() if names[term] in here)
+                    if score >= threshold:
+                        want[t, item] = max(want.get((t, item), 0), score)
+        got = {(t, i): x for t, i, _, x in index.search(texts)}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want) and (want or threshold > 0.5)
 
 
 def test_urls(spark):
