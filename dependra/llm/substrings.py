@@ -25,6 +25,7 @@ Matches never cross documents. Other columns pass through; n_bytes, spans and ke
 from __future__ import annotations
 
 from array import array
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -97,7 +98,7 @@ def segments(data: bytes, length: int, gram: int, rolling: Rolling) -> tuple[np.
     return np.concatenate(starts), np.concatenate(counts), np.concatenate(anchors)
 
 
-def suffix_order(text: list[int]) -> array:
+def suffix_order(text: list[int]) -> list[int] | array:
     """The places of all suffixes in lexicographic order. text: symbols from 0 to 257, of which the last is the smallest and occurs once."""
     n = len(text)
     count = [0] * 258
@@ -108,8 +109,9 @@ def suffix_order(text: list[int]) -> array:
         begins[c] = at
         at += k
     # Groups lie in `order` one after the other; group: where a suffix's group begins, size: by where a group begins.
-    zeros = array("i", bytes(4 * n))
-    group, size, order, place = array("i", [begins[c] for c in text]), zeros[:], zeros[:], zeros[:]
+    ints = list if n < 1_000_000 else partial(array, "i")  # lists are faster, arrays take less memory
+    zeros = ints([0]) * n
+    group, size, order, place = ints(map(begins.__getitem__, text)), zeros[:], zeros[:], zeros[:]
     for c, k in enumerate(count):
         if k:
             size[begins[c]] = k
@@ -117,7 +119,7 @@ def suffix_order(text: list[int]) -> array:
         at = begins[c]
         order[at], place[i] = i, at
         begins[c] = at + 1
-    smaller = array("i", [-2]) * n  # the last place before a suffix that is in a smaller group; -2: not known yet
+    smaller = ints([-2]) * n  # the last place before a suffix that is in a smaller group; -2: not known yet
     end = n
     while end:
         begin = group[order[end - 1]]
@@ -136,6 +138,17 @@ def suffix_order(text: list[int]) -> array:
                     smaller[x] = j
             if j >= 0:
                 named[j] = named.get(j, 0) + 1
+                only = j
+        if len(named) == 1:  # the most frequent case: one suffix is split off
+            j = only
+            g = group[j]
+            size[g] -= 1
+            last, here = g + size[g], place[j]
+            other = order[last]
+            order[last], order[here], place[j], place[other], group[j] = j, other, last, here, last
+            size[last] += 1
+            end = begin
+            continue
         levels: dict[int, list[int]] = {}
         for j, k in named.items():
             levels.setdefault(k, []).append(j)
@@ -153,7 +166,7 @@ def suffix_order(text: list[int]) -> array:
                 size[g] += 1
         end = begin
     # Each suffix in order gives the next places of their groups to those that stand before it, back over the pointers.
-    out, front, done = zeros, array("i", range(n)), bytearray(n)
+    out, front, done = zeros, ints(range(n)), bytearray(n)
     out[0], done[n - 1] = n - 1, 1
     for at in range(n):
         j = out[at] - 1
@@ -168,7 +181,7 @@ def suffix_order(text: list[int]) -> array:
 def suffix_array(strings: list[bytes]) -> tuple[bytes, np.ndarray]:
     """The strings end to end, each with a mark behind it, and the places of all suffixes in order; a mark is smaller than any byte."""
     text = np.concatenate([np.zeros(0, np.int64), *(x for s in strings for x in (np.frombuffer(s, np.uint8).astype(np.int64) + 2, [1])), [0]])
-    return b"".join(s + b"\0" for s in strings), np.frombuffer(suffix_order(text.tolist()), np.int32)[1:]
+    return b"".join(s + b"\0" for s in strings), np.array(suffix_order(text.tolist()), np.int64)[1:]
 
 
 def repeats(texts: list[bytes], length: int, rolling: Rolling) -> list[np.ndarray]:
