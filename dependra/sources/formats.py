@@ -89,27 +89,74 @@ def rank_correlations(rows: DataFrame, measures: list[str], item: str, digits: i
 # ---------------------------------------------------------------- CoNLL-U
 
 
-def read_blocks(spark: SparkSession, path: str, end: str, whole: str | None = None) -> DataFrame:
-    """(ord, value): text cut at `end`; whole: a regular expression to cut each file at instead, after reading it in one piece.
-
-    Files ending in .gz are read as such.
-    """
-    if whole:
-        text = spark.read.text(path, wholetext=True).select(F.explode(F.split("value", whole)).alias("value"))
-    else:
-        text = spark.read.text(path, lineSep=end)
+def read_blocks(spark: SparkSession, path: str, end: str) -> DataFrame:
+    """(ord, value): text cut at `end`. Files ending in .gz are read as such."""
+    text = spark.read.text(path, lineSep=end)
     return text.where("trim(value) <> ''").select(F.monotonically_increasing_id().alias("ord"), "value")
 
 
-def read_conllu(spark: SparkSession, path: str, whole: bool = False) -> DataFrame:
-    return parse_conllu(read_blocks(spark, path, "\n\n", r"\r?\n[ \t\r]*\n" if whole else None))
+def with_places(lines: DataFrame) -> DataFrame:
+    """value, and the file and block of a file that a line read by Spark comes from."""
+    return lines.select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"))
+
+
+def paragraphs(lines: DataFrame) -> DataFrame:
+    """(ord, value): what stands between lines without any but blank characters, in the order of files and of places in them.
+
+    lines: with_places() of lines in the order in which Spark reads them. Lines are put together where they are read, block of a file by
+    block; only what lies over the ends of blocks, at most two pieces a block, is dealt by file and joined.
+    """
+
+    def run(batches):
+        import pyarrow as pa
+
+        names = ["path", "start", "seq", "head", "tail", "value"]
+        here, held, seq, head, out = None, [], 0, False, []
+
+        def close(tail: bool) -> None:
+            nonlocal held, seq, head
+            if held or head or tail:
+                out.append((*here, seq, head, tail, "\n".join(held)))
+                seq += 1
+            held, head = [], False
+
+        for b in batches:
+            for value, path, start in zip(*(b.column(c).to_pylist() for c in ("value", "path", "start"))):
+                if (path, start) != here:
+                    if here is not None:
+                        close(True)
+                    here, seq, head = (path, start), 0, start > 0
+                value = value.rstrip()
+                if value:
+                    held.append(value)
+                else:
+                    close(False)
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.string()))], names=names)
+            out = []
+        if here is not None:
+            close(True)
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.string()))], names=names)
+
+    pieces = lines.mapInArrow(run, "path string, start long, seq long, head boolean, tail boolean, value string").persist()
+    inner = pieces.where("not head and not tail").selectExpr("path", "start + seq at", "value")
+    over = Window.partitionBy("path").orderBy("start", "seq")
+    cut = pieces.where("head or tail").withColumn("new", F.expr("not head") | ~F.coalesce(F.lag("tail").over(over), F.lit(False)))
+    cut = cut.withColumn("g", F.sum(F.col("new").cast("int")).over(over)).groupBy("path", "g").agg(F.array_sort(F.collect_list(F.struct("start", "seq", "value"))).alias("x"))
+    cut = cut.selectExpr("path", "x[0].start + x[0].seq at", "array_join(filter(x.value, v -> v <> ''), '\n') value").where("value <> ''")
+    # A sentence takes more than one byte, so that block and number in it are one order within a file.
+    files = placed(pieces.select("path").distinct(), "path").selectExpr("path p", "place * 4398046511104 base")
+    return inner.unionByName(cut).join(files, F.expr("path = p")).selectExpr("base + at ord", "value")
+
+
+def read_conllu(spark: SparkSession, path: str) -> DataFrame:
+    return parse_conllu(paragraphs(with_places(spark.read.text(path))))
 
 
 def parse_conllu(blocks: DataFrame) -> DataFrame:
     """(ord, original_id, rows); a sentence without an id is called s-<ord>."""
     lines = F.expr(r"filter(transform(split(value, '\n'), x -> regexp_replace(x, '\\s+$', '')), x -> x <> '')")
     out = blocks.select("ord", lines.alias("ls"))
-    name = F.expr(r"try_element_at(filter(transform(ls, x -> regexp_extract(x, '^# sent_id = (.+)$', 1)), x -> x <> ''), 1)")
+    name = F.expr(r"try_element_at(filter(transform(ls, x -> regexp_extract(x, '^#\\s*sent_id\\s*=\\s*(\\S.*)$', 1)), x -> x <> ''), -1)")
     rows = F.expr(r"transform(filter(ls, x -> not startswith(x, '#')), x -> split(x, '\t'))")
     return out.select("ord", F.coalesce(name, F.concat(F.lit("s-"), "ord")).alias("original_id"), rows.alias("rows")).where("size(rows) > 0")
 
@@ -166,7 +213,7 @@ def read_cwb(spark: SparkSession, path: str, close: str = "</s>") -> DataFrame:
 def parse_cwb(blocks: DataFrame) -> DataFrame:
     """(ord, original_id, rows): lines of tags are left out; the id is that of <s id="..."> or <sentence id="...">."""
     name = F.regexp_extract("value", r"<s(?:entence)?\s[^>]*?\bid=([\"'])(.*?)\1", 2)
-    rows = F.expr(r"transform(filter(split(value, '\n'), x -> trim(x) <> '' and not startswith(x, '<')), x -> split(x, '\t'))")
+    rows = F.expr(r"transform(filter(transform(split(value, '\n'), x -> regexp_replace(x, '\r+$', '')), x -> trim(x) <> '' and not startswith(x, '<')), x -> split(x, '\t'))")
     return blocks.select("ord", F.when(name == "", F.concat(F.lit("s-"), "ord")).otherwise(name).alias("original_id"), rows.alias("rows")).where("size(rows) > 0")
 
 

@@ -14,15 +14,16 @@ from dependra.operators.counting import contingency_of, merge
 from dependra.operators.graphs import admitted
 from dependra.plans.pattern import Association
 from dependra.sources.corpus import Corpus
-from dependra.sources.formats import conllu_corpus, parse_conllu
+from dependra.sources.formats import conllu_corpus, paragraphs, parse_conllu, with_places
 
 
 def ingest_conllu(spark: SparkSession, source: str, target: str, checkpoint: str, queries: dict[str, Association] | None = None, sensible: bool = True, once: bool = True) -> StreamingQuery:
     """Reads new files of source; writes target/tokens, target/dependencies and target/counts, by batch."""
-    blocks = spark.readStream.schema("value string").option("lineSep", "\n\n").text(source)
+    lines = with_places(spark.readStream.schema("value string").text(source))
 
     def batch(rows: DataFrame, number: int) -> None:
-        rows = rows.where("trim(value) <> ''").select((F.lit(number) * F.lit(1 << 40) + F.monotonically_increasing_id()).alias("ord"), "value").persist()
+        # Numbers of batches and files lie above the places in a file.
+        rows = paragraphs(rows).select((F.lit(number) * F.lit(1 << 52) + F.col("ord")).alias("ord"), "value").persist()
         corpus = conllu_corpus(parse_conllu(rows))
         corpus = (admitted(corpus) if sensible else corpus).persist()
         for name, t in (("tokens", corpus.tokens), ("dependencies", corpus.dependencies)):
@@ -32,7 +33,7 @@ def ingest_conllu(spark: SparkSession, source: str, target: str, checkpoint: str
         for t in (rows, corpus.tokens, corpus.dependencies):
             t.unpersist()
 
-    w = blocks.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    w = lines.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if once else w).start()
 
 

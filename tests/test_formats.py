@@ -60,17 +60,17 @@ CONLLU = """# sent_id = a
 """
 
 
-@pytest.mark.parametrize("whole", [False, True])
-def test_conllu(spark, tmp_path, whole):
-    (tmp_path / "x.conllu").write_text(CONLLU.replace("\n\n", "\r\n \n") if whole else CONLLU)
-    c = formats.conllu_corpus(formats.read_conllu(spark, str(tmp_path / "x.conllu"), whole))
+@pytest.mark.parametrize("make", [lambda t: t, lambda t: t.replace("\n\n", "\r\n \n"), lambda t: t.replace("\n", "\r\n"), lambda t: "\n\n" + t.replace("# sent_id = a", "#sent_id=a").replace("\n\n", "\n\t \n\n") + "\n\n\n"])
+def test_conllu(spark, tmp_path, make):
+    (tmp_path / "x.conllu").write_bytes(make(CONLLU).encode())
+    c = formats.conllu_corpus(formats.read_conllu(spark, str(tmp_path / "x.conllu")))
     edges = sorted((r.governor, r.dependent, r.relation) for r in c.dependencies.where("governor > 0 or dependent <> 1 or relation <> 'advmod'").collect())
     assert edges == [(1, 0, "nsubj"), (1, 3, "conj"), (1, 4, "obj"), (3, 0, "nsubj"), (3, 2, "cc"), (3, 4, "obj")]
     assert sorted(r.lemma for r in c.tokens.collect()) == sorted(["they", "buy", "and", "sell", "book", "do", "not"])
     q = Pattern(({"wc": "VERB"}, {"wc": "NOUN"}), ((0, 1, {"relation": "obj"}),))
     assert {r.method: r.n for r in counting.method_counts(c, q, 0).collect()} == {"embeddings": 2, "subgraphs": 2, "focus_points": 2, "sentences": 1}
     assert {r.method: r.n for r in counting.method_counts(c, q, 1).collect()}["focus_points"] == 1
-    assert formats.read_conllu(spark, str(tmp_path / "x.conllu"), whole).where("startswith(original_id, 's-')").count() == 1
+    assert formats.read_conllu(spark, str(tmp_path / "x.conllu")).where("startswith(original_id, 's-')").count() == 1
 
 
 def test_cwb_round_trip(spark, tmp_path):
@@ -153,3 +153,25 @@ def test_insert_ignore(spark, tmp_path):
     formats.insert_ignore(a, path, ["k"])
     formats.insert_ignore(spark.createDataFrame([(1, "z"), (2, "w")], "k int, v string"), path, ["k"])
     assert sorted(r.k for r in spark.read.parquet(path).collect()) == [1, 2]
+
+
+@pytest.mark.parametrize("size", [97, 300])
+def test_sentences_over_block_ends(spark, tmp_path, size):
+    """Files cut anywhere give the same sentences in the same order."""
+    import random
+
+    rng, want = random.Random(size), []
+    for f in range(3):
+        text = ""
+        for i in range(12):
+            rows = [f"{j}\tw{f}.{i}.{j}" + "x" * rng.choice([0, 0, 200]) for j in range(rng.randint(1, 6))]
+            want.append((f"f{f}s{i}", rows))
+            end = rng.choice(["\n", "\r\n"])
+            text += end.join([f"# sent_id = f{f}s{i}", *rows]) + end + rng.choice(["\n", " \n", "\r\n", "\n\n\t\n"])
+        (tmp_path / f"{f}.conllu").write_bytes(text.encode())
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    try:
+        got = [(r.original_id, ["\t".join(x) for x in r.rows]) for r in formats.read_conllu(spark, str(tmp_path)).orderBy("ord").collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == want
