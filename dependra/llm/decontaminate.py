@@ -24,6 +24,7 @@ reported as one document, by their best passage. Other columns are ignored, or p
 from __future__ import annotations
 
 import re
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -44,13 +45,6 @@ def grams(words: list[str], size: int = 5) -> set[tuple]:
     return {tuple(words[i : i + size]) for i in range(len(words) - size + 1)} if words else set()
 
 
-class Terms(dict):
-    """Numbers of words; -1 for any other."""
-
-    def __missing__(self, word: str) -> int:
-        return -1
-
-
 class BlockMaxIndex:
     """Postings of one shard; rows are (item_id, words)."""
 
@@ -61,7 +55,7 @@ class BlockMaxIndex:
             n = -(-len(ws) // unit_words)
             units += [(at, ws[i * len(ws) // n : (i + 1) * len(ws) // n]) for i in range(n)]
         units.sort(key=lambda u: (len(u[1]), u[1], u[0]))  # like units share blocks, which keeps the bounds tight
-        self.terms = Terms()
+        self.terms: dict[str, int] = {}
         self.units: list[tuple[int, dict[int, float]]] = []
         for at, ws in units:
             tf: dict[str, int] = {}
@@ -78,6 +72,7 @@ class BlockMaxIndex:
         self.key, self.first = np.unique(term * self.n_blocks + self.post_unit // block, return_index=True) if posts else (np.zeros(0, np.int64),) * 2
         self.first = np.append(self.first, len(posts))
         self.most = np.maximum.reduceat(self.post_impact, self.first[:-1]) if posts else np.zeros(0)
+        self.begin = np.searchsorted(self.key, np.arange(len(self.terms)) * self.n_blocks)
         self.ahead = self.most.copy()
         for c in range(len(self.key) - 2, -1, -1):
             if self.key[c] // self.n_blocks == self.key[c + 1] // self.n_blocks:
@@ -86,18 +81,20 @@ class BlockMaxIndex:
     def search(self, texts: list[list[str]]) -> list[tuple[int, int, int, float]]:
         """(text, item, first word of the passage, score): each retrieved item's best passage."""
         s, n_terms, n_blocks = self.stride, max(1, len(self.terms)), self.n_blocks
-        ids = [np.fromiter(map(self.terms.__getitem__, ws), np.int64, len(ws)) for ws in texts]
-        n_strides = np.array([-(-len(x) // s) for x in ids], np.int64)
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        n_strides = -(-sizes // s)
         first = np.concatenate([[0], np.cumsum(n_strides)])
         if not self.units or not first[-1]:
             return []
-        term = np.concatenate(ids)
-        own = np.concatenate([first[i] + np.arange(len(x)) // s for i, x in enumerate(ids)])
-        begins = np.repeat(first[:-1], n_strides)  # the first stride of a stride's text
-        term, own = term[term >= 0], own[term >= 0]
-        keys = [own * n_terms + term] + [((own - k) * n_terms + term)[own - k >= begins[own]] for k in (1, 2)]
-        passage, term = np.divmod(np.unique(np.concatenate(keys)), n_terms)
-        at = np.searchsorted(self.key, term * n_blocks)  # cursors, at each term's first block
+        term = np.fromiter(map(self.terms.get, chain.from_iterable(texts), repeat(-1)), np.int64, sizes.sum())
+        place = np.flatnonzero(term >= 0)
+        term = term[place]
+        text = np.repeat(np.arange(len(texts)), sizes)[place]
+        own = first[text] + (place - (np.cumsum(sizes) - sizes)[text]) // s
+        begins = first[text]  # the first stride of a stride's text
+        keys = np.sort(np.concatenate([own * n_terms + term] + [((own - k) * n_terms + term)[own - k >= begins] for k in (1, 2)]))
+        passage, term = np.divmod(keys[np.append(True, keys[1:] != keys[:-1])[: len(keys)]], n_terms)
+        at = self.begin[term]  # cursors, at each term's first block
         least, hits = self.threshold - 1e-9, []
         while len(at):
             block = self.key[at] - term * n_blocks
@@ -114,7 +111,8 @@ class BlockMaxIndex:
             # Passages without a pivot are done; cursors before it skip to the first block that isn't.
             goes = pivot[run] >= 0
             passage, term, at, aim, run = passage[goes], term[goes], at[goes], pivot[run][goes], run[goes]
-            at = np.where(block[goes] < aim, np.searchsorted(self.key, term * n_blocks + aim), at)
+            late = np.flatnonzero(block[goes] < aim)
+            at[late] = np.searchsorted(self.key, term[late] * n_blocks + aim[late])
             there = np.zeros(len(at), bool)
             inside = at < len(self.key)
             there[inside] = self.key[at[inside]] == (term * n_blocks + aim)[inside]
