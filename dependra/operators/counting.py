@@ -6,6 +6,8 @@ it but C doesn't; that takes half a unit from either marginal.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -71,7 +73,20 @@ def association(corpus: Corpus, query: Association, digits: int | None = None) -
     return with_measures(contingency_of(corpus, query), digits=digits)
 
 
-# Counts of earlier definitions, kept as operators of their own.
+# Counts of earlier definitions, kept as operators of their own. They refuse units that have C but not both A and B.
+
+
+def _signatures(units: DataFrame) -> DataFrame:
+    wrong = F.expr("if(fc and not (fa and fb), raise_error('inconsistent classification'), fc)")
+    return _totals(units.withColumn("fc", wrong.cast("boolean")))
+
+
+def isomorphism_counts(corpus: Corpus, query: Association) -> DataFrame:
+    """Units are embeddings of N; A, B and C hold if they embed with the common vertices in their places and all others outside."""
+    found = embeddings(corpus, query.n)
+    for p, flag in ((query.c, "fc"), (query.a, "fa"), (query.b, "fb")):
+        found = with_extension(corpus, found, query.n, p, flag)
+    return _signatures(found.selectExpr("'embeddings' method", "fa", "fb", "fc")).where("method = 'embeddings'")
 
 
 def edge_set_subgraphs(corpus: Corpus, query: Association) -> DataFrame:
@@ -91,7 +106,7 @@ def edge_set_subgraphs(corpus: Corpus, query: Association) -> DataFrame:
             hits = hits.where(inside if x in inner else ~inside)
         hits = hits.select("sentence_id", "unit").distinct().withColumn(flag, F.lit(True))
         units = units.join(hits, ["sentence_id", "unit"], "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
-    return _totals(units.withColumn("method", F.lit("subgraphs"))).where("method = 'subgraphs'")
+    return _signatures(units.withColumn("method", F.lit("subgraphs"))).where("method = 'subgraphs'")
 
 
 def choke_points(corpus: Corpus, query: Association) -> DataFrame:
@@ -101,7 +116,7 @@ def choke_points(corpus: Corpus, query: Association) -> DataFrame:
     for p, flag in ((query.c, "fc"), (query.a, "fa"), (query.b, "fb")):
         hits = embeddings(corpus, p).select("sentence_id", F.col(f"m{p.vids.index(vid)}").alias("f")).distinct().withColumn(flag, F.lit(True))
         units = units.join(hits, ["sentence_id", "f"], "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
-    return _totals(units.selectExpr("'focus_points' method", "sentence_id", "fa", "fb", "fc")).where("method = 'focus_points'")
+    return _signatures(units.selectExpr("'focus_points' method", "sentence_id", "fa", "fb", "fc")).where("method = 'focus_points'")
 
 
 def sentence_signatures(corpus: Corpus, query: Association) -> DataFrame:
@@ -110,7 +125,13 @@ def sentence_signatures(corpus: Corpus, query: Association) -> DataFrame:
     for p, flag in ((query.c, "fc"), (query.a, "fa"), (query.b, "fb")):
         hits = embeddings(corpus, p).select("sentence_id").distinct().withColumn(flag, F.lit(True))
         units = units.join(hits, "sentence_id", "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
-    return _totals(units.selectExpr("'sentences' method", "sentence_id", "fa", "fb", "fc")).where("method = 'sentences'")
+    return _signatures(units.selectExpr("'sentences' method", "sentence_id", "fa", "fb", "fc")).where("method = 'sentences'")
+
+
+def legacy_bundle(corpus: Corpus, query: Association) -> DataFrame:
+    """The four counts of earlier definitions in one table."""
+    parts = [f(corpus, query) for f in (choke_points, isomorphism_counts, edge_set_subgraphs, sentence_signatures)]
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 def merge(*results: DataFrame) -> DataFrame:

@@ -10,18 +10,50 @@ from dependra.sources.corpus import Corpus
 MAX_OUTDEGREE, MAX_EGO_EDGES = 10, 18
 
 
-def reachable(corpus: Corpus) -> DataFrame:
-    """(sentence_id, position, hops): what a sentence's roots reach; a frontier of new positions per step, until it is empty."""
-    deps = corpus.dependencies.select("sentence_id", F.col("governor").alias("position"), "dependent")
-    seen = corpus.tokens.where("root").selectExpr("sentence_id", "position", "0 hops")
-    edge, hops = seen, 0
+def _shapes(corpus: Corpus) -> DataFrame:
+    """A row for each sentence: sentence_id, n, roots, outdegree (the largest), loose (tokens but roots without a governor), positions of roots, edges."""
+    t = corpus.tokens.groupBy("sentence_id").agg(
+        F.count("*").alias("n"), F.collect_list(F.when(F.col("root"), F.col("position"))).alias("roots"), F.max("outdegree").alias("outdegree"),
+        F.expr("count_if(not root and indegree = 0)").alias("loose"), F.max("position").alias("last"))
+    d = corpus.dependencies.groupBy("sentence_id").agg(F.collect_list("governor").alias("governors"), F.collect_list("dependent").alias("dependents"))
+    return t.join(d, "sentence_id", "left").withColumns({c: F.coalesce(c, F.array().cast("array<int>")) for c in ("governors", "dependents")})
+
+
+def _hops(batch) -> tuple:
+    """For a record batch of shapes: where each sentence's places begin, hops of every place (-1: not reached), ends of edges; all sentences at once."""
+    import numpy as np
+
+    first = np.concatenate([[0], np.cumsum(batch.column("last").to_numpy() + 1)])
+    flat = lambda c: (batch.column(c).flatten().to_numpy(), batch.column(c).value_lengths().to_numpy())
+    sizes = flat("governors")[1]
+    own = np.repeat(first[:-1], sizes)
+    g, d = own + flat("governors")[0], own + flat("dependents")[0]
+    roots, n = flat("roots")
+    hops = np.full(first[-1], -1)
+    hops[np.repeat(first[:-1], n) + roots] = step = 0
     while True:
-        hops += 1
-        edge = edge.select("sentence_id", "position").join(deps, ["sentence_id", "position"]).selectExpr("sentence_id", "dependent position", f"{hops} hops").distinct()
-        edge = edge.join(seen, ["sentence_id", "position"], "left_anti").persist()
-        if not edge.limit(1).count():
-            return seen
-        seen = seen.unionByName(edge)
+        new = d[(hops[g] == step) & (hops[d] < 0)]
+        if not len(new):
+            return first, hops, g, d, sizes
+        step += 1
+        hops[new] = step
+
+
+def reachable(corpus: Corpus) -> DataFrame:
+    """(sentence_id, position, hops): what a sentence's roots reach; the sentences of a record batch go step by step together."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            if b.num_rows:
+                first, hops, *_ = _hops(b)
+                at = np.flatnonzero(hops >= 0)
+                row = np.searchsorted(first, at, side="right") - 1
+                yield pa.RecordBatch.from_arrays([b.column("sentence_id").take(pa.array(row)), pa.array((at - first[row]).astype(np.int32)), pa.array(hops[at].astype(np.int32))], names=["sentence_id", "position", "hops"])
+
+    return _shapes(corpus).select("sentence_id", "last", "roots", "governors", "dependents").mapInArrow(run, "sentence_id long, position int, hops int")
 
 
 def neighbourhood(corpus: Corpus, sets: DataFrame, positions: str) -> DataFrame:
@@ -42,39 +74,34 @@ def ego_edges(corpus: Corpus) -> DataFrame:
     return inner.groupBy("sentence_id", F.col("v").alias("position")).agg(F.count("*").alias("edges"))
 
 
-def is_sensible(tokens: list[dict], deps: list[dict]) -> bool:
-    """One root, which reaches every token; out-degrees and edges within neighbourhoods within their bounds."""
-    roots = [t["position"] for t in tokens if t["root"]]
-    if len(roots) != 1:
-        return False
-    out: dict[int, set] = {}
-    near: dict[int, set] = {}
-    for d in deps:
-        out.setdefault(d["governor"], set()).add(d["dependent"])
-        for a, b in ((d["governor"], d["dependent"]), (d["dependent"], d["governor"])):
-            near.setdefault(a, {a}).add(b)
-    seen, todo = set(roots), roots
-    while todo:
-        new = out.get(todo.pop(), set()) - seen
-        seen |= new
-        todo += new
-    if len(seen) != len(tokens) or any(len(x) > MAX_OUTDEGREE for x in out.values()):
-        return False
-    # A neighbourhood can only be too dense if the sentence has so many edges.
-    return len(deps) <= MAX_EGO_EDGES or all(sum(len(out.get(v, set()) & own) for v in own) <= MAX_EGO_EDGES for own in near.values())
-
-
 def sensible_sentences(corpus: Corpus) -> DataFrame:
-    """sentence_id of admitted sentences: each sentence is looked at once, where it lies, in Arrow batches."""
+    """sentence_id of admitted sentences: one root, which reaches every token; out-degrees and edges within neighbourhoods within their bounds.
+
+    Roots, degrees and tokens without a governor are counted by Spark; only numbers of places go to Python, where the sentences of a
+    record batch are searched together. A neighbourhood can only be too dense if the sentence has so many edges.
+    """
 
     def run(batches):
+        import numpy as np
         import pyarrow as pa
 
         for b in batches:
-            rows = zip(b.column("tokens").to_pylist(), b.column("dependencies").to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column("sentence_id").filter(pa.array([is_sensible(t, d) for t, d in rows], pa.bool_()))], names=["sentence_id"])
-
-    return corpus.graphs().mapInArrow(run, "sentence_id long")
+            if not b.num_rows:
+                continue
+            first, hops, g, d, sizes = _hops(b)
+            ok = np.add.reduceat(hops >= 0, first[:-1]) == b.column("n").to_numpy()
+            begins = np.concatenate([[0], np.cumsum(sizes)])
+            for i in np.flatnonzero(ok & (sizes > MAX_EGO_EDGES)):
+                edges = list(zip(g[begins[i] : begins[i + 1]].tolist(), d[begins[i] : begins[i + 1]].tolist()))
+                near: dict[int, set] = {}
+                for x, y in edges:
+                    near.setdefault(x, {x}).add(y)
+                    near.setdefault(y, {y}).add(x)
+                ok[i] = all(sum(x in own and y in own for x, y in edges) <= MAX_EGO_EDGES for own in near.values())
+            yield pa.RecordBatch.from_arrays([b.column("sentence_id").filter(pa.array(ok))], names=["sentence_id"])
+
+    some = _shapes(corpus).where(f"size(roots) = 1 and loose = 0 and outdegree <= {MAX_OUTDEGREE}")
+    return some.select("sentence_id", "n", "last", "roots", "governors", "dependents").mapInArrow(run, "sentence_id long")
 
 
 def admitted(corpus: Corpus) -> Corpus:

@@ -8,7 +8,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dependra.plans.compiler import candidates, columns, edge_test, embeddings
+from dependra.plans.compiler import candidates, columns, edge_test, embeddings, extend
 from dependra.plans.pattern import LABELS, Pattern
 from dependra.sources.corpus import Corpus
 
@@ -24,16 +24,27 @@ def rooted(corpus: Corpus, pattern: Pattern, focus: int) -> DataFrame:
 
 
 def rooted_at(corpus: Corpus, pattern: Pattern, focus: int, places: DataFrame) -> DataFrame:
-    """Those of places (sentence_id, focus) at which the pattern occurs."""
-    return places.join(rooted(corpus, pattern, focus), ["sentence_id", "focus"], "left_semi")
+    """Those of places (sentence_id, focus), tokens of the corpus, at which the pattern occurs; the search starts from them."""
+    names = columns(pattern)
+    seeds = places.select("sentence_id", F.col("focus").alias(names[focus])).distinct()
+    found = extend(corpus, pattern, names, seeds, (names[focus],)).select("sentence_id", F.col(names[focus]).alias("focus")).distinct()
+    return places.join(found, ["sentence_id", "focus"], "left_semi")
 
 
 def count_fixed(corpus: Corpus, pattern: Pattern, vertex: int, places: DataFrame) -> DataFrame:
-    """(sentence_id, position, embeddings): how many embeddings have the vertex at each of places (sentence_id, position)."""
-    found = embeddings(corpus, pattern).groupBy("sentence_id", F.col(f"m{vertex}").alias("position")).agg(F.count("*").alias("embeddings"))
+    """(sentence_id, position, embeddings): how many embeddings have the vertex at each of places (sentence_id, position), tokens of the
+    corpus; the search starts from them."""
+    names = columns(pattern)
+    seeds = places.select("sentence_id", F.col("position").alias(names[vertex])).distinct()
+    found = extend(corpus, pattern, names, seeds, (names[vertex],)).groupBy("sentence_id", F.col(names[vertex]).alias("position")).agg(F.count("*").alias("embeddings"))
     return places.join(found, ["sentence_id", "position"], "left").fillna(0, ["embeddings"])
 
 
+def large_enough(corpus: Corpus, pattern: Pattern) -> DataFrame:
+    """sentence_id of the sentences that have as many tokens and edges as the pattern."""
+    return corpus.sizes().where((F.col("n_tokens") >= len(pattern)) & (F.col("n_deps") >= len(pattern.edges))).select("sentence_id")
+
+
 def candidate_sets(corpus: Corpus, pattern: Pattern, consistent: bool = True) -> DataFrame:
     """(sentence_id, vertex, position): what each vertex can stand for by itself; consistent: and with a partner for each of its edges."""
     degree = lambda v: (sum(t == v for _, t, _ in pattern.edges), sum(s == v for s, _, _ in pattern.edges))
@@ -79,8 +90,12 @@ def pattern_sql(pattern: Pattern, tokens: str = "tokens", dependencies: str = "d
     return f"select t0.sentence_id, {', '.join(f't{v}.position m{v}' for v in names)} from {', '.join(sources)}" + (f" where {' and '.join(where)}" if where else "")
 
 
-def breadth_first(corpus: Corpus) -> DataFrame:
-    """(sentence_id, position, rank): places in breadth-first order from the root, children by relation and position."""
+def breadth_first(corpus: Corpus, fragment: bool = False) -> DataFrame:
+    """(sentence_id, position, rank): places in breadth-first order from the first root, children by relation and position.
+
+    fragment: what has no root starts from the first place that reaches all others, else from all without a governor. Sentences without a
+    start give no rows.
+    """
 
     def run(batches):
         import pyarrow as pa
@@ -91,19 +106,43 @@ def breadth_first(corpus: Corpus) -> DataFrame:
                 below: dict[int, list] = {}
                 for d in deps:
                     below.setdefault(d["governor"], []).append((d["relation"], d["dependent"]))
-                todo, seen = [t["position"] for t in tokens if t["root"]], []
-                while todo:
-                    v = todo.pop(0)
-                    if v not in seen:
-                        seen.append(v)
-                        todo += [x for _, x in sorted(below.get(v, ()))]
-                out += [(sid, v, i) for i, v in enumerate(seen)]
+
+                def walk(todo):
+                    seen = {}
+                    for v in todo:  # grows as it goes
+                        if v not in seen:
+                            seen[v] = len(seen)
+                            todo += [x for _, x in sorted(below.get(v, ()))]  # noqa: B023
+                    return seen
+
+                start = [t["position"] for t in tokens if t["root"]][:1]
+                if fragment and not start:
+                    start = next(([t["position"]] for t in tokens if len(walk([t["position"]])) == len(tokens)), [])
+                    governed = {d["dependent"] for d in deps}
+                    start = start or [t["position"] for t in tokens if t["position"] not in governed]
+                out += [(sid, v, i) for v, i in walk(start).items()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int32()))], names=["sentence_id", "position", "rank"])
 
     return corpus.graphs().mapInArrow(run, "sentence_id long, position int, rank int")
 
 
+def in_corpus_order(ranked: DataFrame, rows: DataFrame, column: str) -> DataFrame:
+    """rows (sentence_id, column: an array of ranks) with the places that breadth_first() gave those ranks, in ascending order."""
+    places = ranked.groupBy("sentence_id").agg(F.map_from_entries(F.collect_list(F.struct("rank", "position"))).alias("places__"))
+    return rows.join(places, "sentence_id").withColumn(column, F.expr(f"array_sort(transform({column}, r -> places__[r]))")).drop("places__")
+
+
 def subsets(df: DataFrame, column: str, low: int, high: int) -> DataFrame:
-    """df with column subset: a row for each subset of an array column (up to 20 elements) with low to high elements."""
-    masks = df.withColumn("mask__", F.explode(F.expr(f"sequence(0, cast(shiftleft(1, least(size({column}), 20)) as int) - 1)"))).where(f"bit_count(mask__) between {low} and {high}")
-    return masks.withColumn("subset", F.expr(f"filter({column}, (x, i) -> shiftright(mask__, i) & 1 = 1)")).drop("mask__")
+    """df with column subset: a row for each subset of an array column with low to high elements, in the array's order.
+
+    Subsets of one size more are made from those before by every later element, so that arrays may be of any length.
+    """
+    at = "i__"
+    now = df.withColumn("subset", F.expr(f"filter({column}, x -> false)")).withColumn(at, F.lit(-1))
+    out = now.where(F.lit(low <= 0))
+    for size in range(1, high + 1):
+        now = now.withColumn("j__", F.explode(F.expr(f"if(size({column}) > {at} + 1, sequence({at} + 1, size({column}) - 1), cast(array() as array<int>))")))
+        now = now.withColumn("subset", F.expr(f"array_append(subset, {column}[j__])")).withColumn(at, F.col("j__")).drop("j__")
+        if size >= low:
+            out = out.unionAll(now)
+    return out.drop(at)

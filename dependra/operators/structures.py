@@ -135,32 +135,40 @@ def larger_structures(corpus: Corpus, query: Pattern, max_size: int = 7, min_coo
     rows = sets.groupBy("sentence_id").agg(F.collect_list(F.struct("set", "m", "fa")).alias("sets")).join(corpus.only(sets).graphs(), "sentence_id")
 
     def run(batches):
+        import hashlib
+
         import pyarrow as pa
 
         memo: dict = {}
+        hashed = lambda text: hashlib.md5(text.encode()).digest()
         for b in batches:
             out = []
             for r in b.to_pylist():
                 for s in r["sets"]:
-                    out += [(r["sentence_id"], s["set"], c, g) for c, g in surroundings(r["tokens"], r["dependencies"], s["m"], query, max_size, keep_lemma, memo)]
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.list_(pa.int32()), pa.string(), pa.string()))], names=["sentence_id", "set", "gc", "gb"])
+                    out += [(r["sentence_id"], s["set"], hashed(c), hashed(g), c) for c, g in surroundings(r["tokens"], r["dependencies"], s["m"], query, max_size, keep_lemma, memo)]
+            kinds = (pa.int64(), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(kinds)], names=["sentence_id", "set", "gc", "gb", "text"])
 
-    # Kept, as both keys are counted from it.
-    around = rows.mapInArrow(run, "sentence_id long, set array<int>, gc string, gb string").persist()
+    # Kept, as both keys are counted from it. Keys are hashes; texts are only fetched for what is reported.
+    around = _once(rows.mapInArrow(run, "sentence_id long, set array<int>, gc binary, gb binary, text string"))
     flagged = found.withColumn("set", F.expr(f"array_sort(array({', '.join(names)}))"))
     units = by_unit(flagged, names, f"m{focus}", "fa", "set")
     totals = units.groupBy("method", "sentence_id", "unit").agg(F.max("fa").alias("fa")).groupBy("method").agg(F.count("*").alias("n"), F.expr("count_if(fa)").alias("a"))
     unit_a = units.groupBy("method", "sentence_id", "unit").agg(F.max("fa").alias("ua"))
-    keyed = units.join(around, ["sentence_id", "set"])
-    # Keys of structures that occur around the lexical items.
-    c = keyed.where("fa").groupBy("gc", "gb", "method").agg(F.count_distinct("sentence_id", "unit").alias("o11"))
-    often = c.where(f"method = 'sentences' and o11 >= {min_coocc}").select("gc").distinct()
-    b = keyed.select("gb", "method", "sentence_id", "unit").distinct().join(unit_a, ["method", "sentence_id", "unit"])
+    # Structures in enough sentences with the lexical items, before anything else is counted.
+    lexical_sets = flagged.where("fa").select("sentence_id", "set").distinct()
+    often = around.join(lexical_sets, ["sentence_id", "set"], "left_semi").groupBy("gc", "gb").agg(F.count_distinct("sentence_id").alias("s")).where(F.col("s") >= min_coocc)
+    often = _once(often.select("gc", "gb"))
+    near_c = around.select("sentence_id", "set", "gc", "gb").join(often, ["gc", "gb"], "left_semi")
+    near_b = around.select("sentence_id", "set", "gb").join(often.select("gb").distinct(), "gb", "left_semi").distinct()
+    c = units.where("fa").join(near_c, ["sentence_id", "set"]).groupBy("gc", "gb", "method").agg(F.count_distinct("sentence_id", "unit").alias("o11"))
+    b = units.join(near_b, ["sentence_id", "set"]).select("gb", "method", "sentence_id", "unit").distinct().join(unit_a, ["method", "sentence_id", "unit"])
     b = b.groupBy("gb", "method").agg(F.count("*").alias("b"), F.expr("count_if(ua)").alias("ab"))
-    rows = c.join(often, "gc", "left_semi").join(b, ["gb", "method"]).join(F.broadcast(totals), "method")  # four rows
+    texts = around.select("gc", "text").join(often.select("gc").distinct(), "gc", "left_semi").groupBy("gc").agg(F.min("text").alias("text"))
+    rows = c.join(b, ["gb", "method"]).join(F.broadcast(totals), "method").join(texts, "gc")  # four rows in totals
     rows = rows.withColumn("inconsistent", F.col("ab") - F.col("o11"))
     half = F.col("inconsistent").cast("double") / 2
-    rows = rows.select(F.col("gc").alias("larger_structure"), "method", "o11", (F.col("a") - half).alias("r1"), (F.col("b") - half).alias("c1"), "n", "inconsistent")
+    rows = rows.select(F.col("text").alias("larger_structure"), "method", "o11", (F.col("a") - half).alias("r1"), (F.col("b") - half).alias("c1"), "n", "inconsistent")
     return with_measures(rows, digits=digits)
 
 
@@ -179,8 +187,13 @@ def _star_keys(n: int, center: int, edges: tuple[tuple[int, int, str], ...]) ->
     return (*keyed([(s, t, {"relation": r}) for s, t, r in edges]), *keyed([(s, t, {}) for s, t, _ in edges]), n, " ".join(map(str, degrees)), " ".join(sorted(r for _, _, r in edges)))
 
 
-def star_rows(corpus: Corpus, max_vertices: int | None = None) -> DataFrame:
-    """A row for every star-like subgraph: sentence_id, center, pos, wc, edge_key, edge_center, skeleton_key, skeleton_center, length, degrees, relations."""
+def star_rows(corpus: Corpus, max_vertices: int | None = None, places: DataFrame | None = None) -> DataFrame:
+    """A row for every star-like subgraph: sentence_id, center, pos, wc, edge_key, edge_center, skeleton_key, skeleton_center, length, degrees, relations.
+
+    places: (sentence_id, position) of the centres that are asked for; all without it.
+    """
+
+    some = places is not None
 
     def run(batches):
         import pyarrow as pa
@@ -189,9 +202,12 @@ def star_rows(corpus: Corpus, max_vertices: int | None = None) -> DataFrame:
         for b in batches:
             out = []
             for r in b.to_pylist():
+                asked = set(r["asked"]) if some else None
                 relation = {(d["governor"], d["dependent"]): d["relation"] for d in r["dependencies"]}
                 for t in r["tokens"]:
                     v = t["position"]
+                    if asked is not None and v not in asked:
+                        continue
                     near = {v} | {y for x, y in relation if x == v} | {x for x, y in relation if y == v}
                     edges = sorted(e for e in relation if e[0] in near and e[1] in near)
                     for vertices, chosen in connected_edge_sets(edges, (frozenset([v]), frozenset()), 2, min(max_vertices or len(near), len(near))):
@@ -208,7 +224,11 @@ def star_rows(corpus: Corpus, max_vertices: int | None = None) -> DataFrame:
             kinds = (pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], names=["sentence_id", "center", "pos", "wc", "edge_key", "edge_center", "skeleton_key", "skeleton_center", "length", "degrees", "relations"])
 
-    return corpus.graphs().mapInArrow(run, "sentence_id long, center int, pos string, wc string, edge_key string, edge_center int, skeleton_key string, skeleton_center int, length int, degrees string, relations string")
+    rows = corpus.graphs()
+    if some:
+        asked = places.groupBy("sentence_id").agg(F.collect_set("position").alias("asked"))
+        rows = corpus.only(asked).graphs().join(asked, "sentence_id")
+    return rows.mapInArrow(run, "sentence_id long, center int, pos string, wc string, edge_key string, edge_center int, skeleton_key string, skeleton_center int, length int, degrees string, relations string")
 
 
 def star_frequencies(stars: DataFrame, skeleton: bool = False, labels: bool = False) -> DataFrame:
@@ -222,10 +242,20 @@ def edge_to_skeleton(stars: DataFrame) -> DataFrame:
     return stars.groupBy("edge_key", "edge_center").agg(F.array_sort(F.collect_set(F.struct("skeleton_key", "skeleton_center"))).alias("skeletons"))
 
 
+def _once(df: DataFrame) -> DataFrame:
+    """Computed once: a checkpoint where the session has a folder for them, else kept."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder and not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(folder)
+    return df.checkpoint() if spark.sparkContext.getCheckpointDir() else df.persist()
+
+
 def connected_subgraphs(corpus: Corpus, low: int, high: int, edges: int | None = None) -> DataFrame:
     """(sentence_id, vertices, edges): all connected subgraphs with low to high vertices (and so many edges), by joins.
 
-    Level by level: sets of k + 1 edges are sets of k edges with one more edge at one of their vertices, deduplicated.
+    Level by level: sets of k + 1 edges are sets of k edges with one more edge at one of their vertices, deduplicated. Each level
+    is computed once.
     """
     deps = corpus.dependencies.selectExpr("sentence_id", "governor g", "dependent d")
     now = deps.selectExpr("sentence_id", "array_sort(array(g, d)) vertices", "array(struct(g, d)) edges").distinct()
@@ -233,10 +263,25 @@ def connected_subgraphs(corpus: Corpus, low: int, high: int, edges: int | None =
     for _ in range(1, most):
         more = now.join(deps, "sentence_id").where("array_contains(vertices, g) or array_contains(vertices, d)").where("not array_contains(edges, struct(g, d))")
         more = more.selectExpr("sentence_id", "array_sort(array_union(vertices, array(g, d))) vertices", "array_sort(array_append(edges, struct(g, d))) edges")
-        now = more.where(F.size("vertices") <= high).distinct()
+        now = _once(more.where(F.size("vertices") <= high).distinct())
         if edges is None and now.limit(1).count() == 0:
             break
         out = out.unionAll(now)
     out = out.where((F.size("vertices") >= low) & (F.size("vertices") <= high))
     return out.where(F.size("edges") == edges) if edges else out
 
+
+def connected_vertex_sets(corpus: Corpus, low: int, high: int) -> DataFrame:
+    """(sentence_id, vertices, edges): the node-induced connected subgraphs with low to high vertices, by joins: sets of k + 1 vertices are
+    sets of k with one more neighbour; edges are all between them."""
+    ends = corpus.dependencies.selectExpr("sentence_id", "inline(array(named_struct('v', governor, 'w', dependent), named_struct('v', dependent, 'w', governor)))").distinct()
+    now = corpus.tokens.selectExpr("sentence_id", "array(position) vertices")
+    out = now
+    for _ in range(1, high):
+        more = now.selectExpr("sentence_id", "vertices", "explode(vertices) v").join(ends, ["sentence_id", "v"]).where("not array_contains(vertices, w)")
+        now = _once(more.selectExpr("sentence_id", "array_sort(array_append(vertices, w)) vertices").distinct())
+        out = out.unionAll(now)
+    out = out.where((F.size("vertices") >= low) & (F.size("vertices") <= high))
+    deps = corpus.dependencies.groupBy("sentence_id").agg(F.array_sort(F.collect_list(F.struct(F.col("governor").alias("g"), F.col("dependent").alias("d")))).alias("deps"))
+    out = out.join(deps, "sentence_id", "left")
+    return out.selectExpr("sentence_id", "vertices", "filter(coalesce(deps, array()), e -> array_contains(vertices, e.g) and array_contains(vertices, e.d)) edges")

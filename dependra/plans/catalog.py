@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import functions as F
 
 from dependra.functions import tags
@@ -12,23 +15,24 @@ from dependra.operators import graphs, match, structures
 from dependra.plans import compiler
 from dependra.plans.pattern import Pattern, parse, split_association
 from dependra.sources import formats
+from dependra.sources.corpus import Corpus
 from dependra.sources.treebank import treebank
 
 # ---------------------------------------------------------------- SQL of the treebank
 
-_ITEMS = """items as (select *, cast(row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate, l_returnflag, l_linestatus) - 1 as int) pos0
+_ITEMS = """items as materialized (select *, cast(row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate, l_returnflag, l_linestatus) - 1 as int) pos0
   from lineitem join part on l_partkey = p_partkey),
 base as (select l_orderkey::bigint sentence_id, pos0 as position, p_name || '/' || l_linestatus as word, l_linestatus as pos, p_name as lemma,
   case l_returnflag when 'R' then 'VERB' when 'A' then 'NOUN' when 'N' then 'ADJ' end as wc, pos0 = 0 as root from items),
-d as (select l_orderkey::bigint sentence_id, ((pos0 - 1) // 2)::int governor, pos0 dependent, ['obj','iobj','obl','det','nmod','amod'][(p_size % 6 + 1)::int] relation from items where pos0 > 0 RAW
+d as materialized (select l_orderkey::bigint sentence_id, ((pos0 - 1) // 2)::int governor, pos0 dependent, ['obj','iobj','obl','det','nmod','amod'][(p_size % 6 + 1)::int] relation from items where pos0 > 0 RAW
   union all select l_orderkey::bigint, pos0 - 2, pos0, 'conj' from items where pos0 >= 5 and pos0 % 2 = 1 and l_quantity >= 40 RAW)"""
 TREE = "with recursive " + _ITEMS.replace("RAW", "") + """,
-t as (select base.*, (select count(*) from d where d.sentence_id = base.sentence_id and dependent = position)::int indegree, (select count(*) from d where d.sentence_id = base.sentence_id and governor = position)::int outdegree from base)
+t as materialized (select base.*, (select count(*) from d where d.sentence_id = base.sentence_id and dependent = position)::int indegree, (select count(*) from d where d.sentence_id = base.sentence_id and governor = position)::int outdegree from base)
 """
-RAW = "with recursive " + _ITEMS.replace("d as (", "d0 as (").replace("RAW", "and l_tax < 0.08") + """,
-kept as (select *, cast(row_number() over (partition by sentence_id order by position) - 1 as int) nr from base where root or exists (select 1 from d0 where d0.sentence_id = base.sentence_id and (governor = position or dependent = position))),
-d as (select d0.sentence_id, g.nr governor, h.nr dependent, relation from d0 join kept g on g.sentence_id = d0.sentence_id and g.position = governor join kept h on h.sentence_id = d0.sentence_id and h.position = dependent),
-t as (select sentence_id, nr as position, word, pos, lemma, wc, root, (select count(*) from d where d.sentence_id = kept.sentence_id and dependent = nr)::int indegree, (select count(*) from d where d.sentence_id = kept.sentence_id and governor = nr)::int outdegree from kept)
+RAW = "with recursive " + _ITEMS.replace("d as materialized (", "d0 as materialized (").replace("RAW", "and l_tax < 0.08") + """,
+kept as materialized (select *, cast(row_number() over (partition by sentence_id order by position) - 1 as int) nr from base where root or exists (select 1 from d0 where d0.sentence_id = base.sentence_id and (governor = position or dependent = position))),
+d as materialized (select d0.sentence_id, g.nr governor, h.nr dependent, relation from d0 join kept g on g.sentence_id = d0.sentence_id and g.position = governor join kept h on h.sentence_id = d0.sentence_id and h.position = dependent),
+t as materialized (select sentence_id, nr as position, word, pos, lemma, wc, root, (select count(*) from d where d.sentence_id = kept.sentence_id and dependent = nr)::int indegree, (select count(*) from d where d.sentence_id = kept.sentence_id and governor = nr)::int outdegree from kept)
 """
 
 _R = 6
@@ -98,6 +102,11 @@ ASSOCIATION = parse({
     "nodes": [{"id": 0, "query": "AB", "wc": "VERB", "pos": "F", "only_A": ["pos"]}, {"id": 1, "query": "B", "wc": "NOUN"}],
     "links": [{"source": 0, "target": 1, "relation": "obj"}],
 })
+#: Two amod dependents; A: one of them has an object, B: one of them has a nmod; both may be the same one or not.
+BRANCHED = parse({
+    "nodes": [{"id": 0, "query": "AB"}, {"id": 1, "query": "AB"}, {"id": 2, "query": "AB"}, {"id": 3, "query": "A"}, {"id": 4, "query": "B"}],
+    "links": [{"source": 0, "target": 1, "relation": "amod"}, {"source": 0, "target": 2, "relation": "amod"}, {"source": 1, "target": 3, "relation": "obj"}, {"source": 1, "target": 4, "relation": "nmod"}],
+})
 COLLEXEME = Pattern((VERB | {"collo_item": True}, {}), ((0, 1, {"relation": "obj"}),))
 COVARYING = Pattern((VERB | {"collo_A": True}, {"collo_B": True}), ((0, 1, {"relation": "amod"}),))
 SYMMETRIC = Pattern(({"focus_point": True}, {"collo_A": True}, {"collo_B": True}), ((0, 1, {"relation": "amod"}), (0, 2, {"relation": "amod"})))
@@ -188,6 +197,13 @@ _SENT_FLAGS = """f as (select sentence_id, exists (select 1 from t x where x.sen
   exists (select 1 from t x join d on d.sentence_id = x.sentence_id and governor = x.position join t y on y.sentence_id = x.sentence_id and y.position = dependent where x.sentence_id = q.sentence_id and x.wc = 'VERB' and x.pos = 'F' and relation = 'obj' and y.wc = 'NOUN') fc
   from (select distinct sentence_id from t where wc = 'VERB') q)"""
 
+# A unit is a governor and two of its amod dependents, whichever part each plays; A and B name others than those three.
+_BRANCHED_FLAGS = """g as (select x.sentence_id, x.governor m0, x.dependent a, y.dependent b from d x join d y on y.sentence_id = x.sentence_id and y.governor = x.governor and x.dependent < y.dependent where x.relation = 'amod' and y.relation = 'amod'),
+z as (select g.sentence_id, m0, a, b, z.governor p, z.dependent q, z.relation r from g join d z on z.sentence_id = g.sentence_id and z.governor in (a, b) where z.dependent not in (m0, a, b)),
+f as (select sentence_id, m0, a, b, exists (select 1 from z where z.sentence_id = g.sentence_id and z.m0 = g.m0 and z.a = g.a and z.b = g.b and r = 'obj') fa,
+  exists (select 1 from z where z.sentence_id = g.sentence_id and z.m0 = g.m0 and z.a = g.a and z.b = g.b and r = 'nmod') fb,
+  exists (select 1 from z join z y on y.sentence_id = z.sentence_id and y.m0 = z.m0 and y.a = z.a and y.b = z.b and y.p = z.p where z.sentence_id = g.sentence_id and z.m0 = g.m0 and z.a = g.a and z.b = g.b and z.r = 'obj' and y.r = 'nmod') fc from g)"""
+
 _TAGGED = """b as (select p_partkey::bigint id, (['CC','CD','NN','VBZ','TO','IN','DT','WDT','RB','NFP','EX','JJ','ZZ'])[(p_partkey % 13 + 1)::int] tag,
   (['that','not','%','--','someone','x'])[(p_partkey // 13 % 6 + 1)::int] lemma, (['mark','det','aux','obj'])[(p_size % 4 + 1)::int] rel, case when p_size % 3 = 0 then 'VB' else 'NN' end gov from part)"""
 
@@ -199,9 +215,45 @@ def _tagged(spark, sf_dir):
         "if(p_size % 3 = 0, 'VB', 'NN') gov")
 
 
+def _files(spark, write) -> str:
+    """A new folder that write(path) has filled: in the shared one of spark.checkpoint.dir, where that is set."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    path = f"{base.rstrip('/')}/text-{uuid.uuid4().hex}" if base else f"{tempfile.mkdtemp(prefix='dependra-')}/text"
+    write(path)
+    return path
+
+
 def _conllu_lines(spark, sf_dir):
-    """The treebank as CoNLL-U text, read back."""
-    return formats.conllu_corpus(formats.parse_conllu(formats.to_conllu(treebank(spark, sf_dir)))).dependencies
+    """The treebank written as CoNLL-U with comments, CRLF after every third sentence and separators of several kinds, and read from the files."""
+    text = formats.to_conllu(treebank(spark, sf_dir))
+    odd = """case ord % 3 when 0 then concat(replace(replace(value, '# sent_id = ', '#sent_id='), '\n', '\r\n'), '\r\n\t \r')
+        when 1 then concat('# text = x\n', value, '\n  ') else concat(value, '\n\n') end"""
+    path = _files(spark, lambda p: text.selectExpr(odd).write.text(p))
+    return _with_names(formats.read_conllu(spark, path), formats.conllu_corpus).dependencies
+
+
+def _with_names(rows, make):
+    """The corpus with the numbers that its sentences are named by."""
+    c = make(rows.withColumn("ord", F.expr("try_cast(original_id as long)")))
+    return Corpus(c.tokens, c.dependencies)
+
+
+def _cwb_read(spark, sf_dir):
+    """The treebank written in the CWB format and read from the files."""
+    path = _files(spark, lambda p: formats.cwb_text(treebank(spark, sf_dir)).select("value").write.text(p))
+    return _with_names(formats.read_cwb(spark, path), formats.cwb_corpus).dependencies
+
+
+def _fragments(bank):
+    """The sentences with an even number, without their roots' labels; of those that 4 divides, also without the edges to position 2."""
+    tokens = bank.tokens.where("sentence_id % 2 = 0").withColumn("root", F.lit(False))
+    return Corpus(tokens, bank.dependencies.where("sentence_id % 2 = 0 and not (sentence_id % 4 = 0 and dependent = 2)"))
+
+
+def _whole_sets(spark, sf_dir):
+    """Single elements and pairs of the distinct parts of each supplier: arrays of more than 20 elements."""
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_suppkey <= 3").groupBy("l_suppkey").agg(F.array_sort(F.collect_set("l_partkey")).alias("ps"))
+    return match.subsets(rows, "ps", 1, 2).selectExpr("cast(l_suppkey as long) supplier", "array_join(subset, ' ') subset")
 
 
 def _compiled(spark, sf_dir):
@@ -240,7 +292,8 @@ QUERIES = {
     "filter_not_indep": _bank(lambda c: compiler.candidates(c, {"wc": "NOUN", "not_indep": ["obj", "conj"]})),
     "filter_not_outdep": _bank(lambda c: compiler.candidates(c, {"wc": "VERB", "not_outdep": ["iobj", "obl"]})),
     "filter_degree": _bank(lambda c: compiler.candidates(c, {}, degrees=(1, 2))),
-    "filter_regexp": _bank(lambda c: c.tokens.where(F.col("word").rlike("^[a-m].*/F$")).select("sentence_id", "position", "word")),
+    "filter_regexp": _bank(lambda c: compiler.candidates(c, {"word": "^[a-m].*/F$", "not_lemma": "[xyz]"}, regexp=True)),
+    "size_reject": _bank(lambda c: match.large_enough(c, TWO_AMOD)),
     "candidate_sentences": _bank(lambda c: compiler.candidate_sentences(c, NEGATED)),
     "sensible_sentences": lambda s, d: graphs.sensible_sentences(treebank(s, d, raw=True)),
     "reachable": _reach,
@@ -250,19 +303,25 @@ QUERIES = {
     "match_star3": _bank(lambda c: compiler.embeddings(c, TWO_AMOD)),
     "match_structural": _bank(lambda c: compiler.embeddings(c, SHAPE)),
     "match_negated": _bank(lambda c: compiler.embeddings(c, NEGATED)),
-    "exists_pattern": _bank(lambda c: compiler.embeddings(c, PATH).select("sentence_id").distinct()),
-    "rooted_matches": _bank(lambda c: compiler.embeddings(c, TWO_AMOD).select("sentence_id", F.col("m0").alias("focus")).distinct()),
-    "fixed_pair_count": _bank(lambda c: compiler.embeddings(c, TWO_AMOD).where("m0 = 0").groupBy("sentence_id").agg(F.count("*").alias("embeddings"))),
+    "exists_pattern": _bank(lambda c: match.subsumed(c, PATH)),
+    "rooted_matches": _bank(lambda c: match.rooted(c, TWO_AMOD, 0)),
+    "rooted_at_places": _bank(lambda c: match.rooted_at(c, TWO_AMOD, 0, c.tokens.where("position < 2").select("sentence_id", F.col("position").alias("focus")))),
+    "fixed_pair_count": _bank(lambda c: match.count_fixed(c, TWO_AMOD, 0, c.tokens.where("root").select("sentence_id", "position")).select("sentence_id", "embeddings")),
     "neighbourhood": _bank(_near),
     "candidate_sets": _bank(lambda c: match.candidate_sets(c, NEGATED, consistent=False)),
     "arc_consistency": _bank(lambda c: match.candidate_sets(c, OBJ)),
     "folded_candidates": _bank(lambda c: match.folded(compiler.embeddings(c, TWO_AMOD), TWO_AMOD).selectExpr("sentence_id", "array_join(m0, ' ') m0", "array_join(m1, ' ') m1")),
     "compiled_sql": _compiled,
     "breadth_first": _bank(match.breadth_first),
+    "breadth_first_fragments": lambda s, d: match.breadth_first(_fragments(treebank(s, d)), fragment=True),
+    "corpus_order": _bank(lambda c: match.in_corpus_order(match.breadth_first(c), c.sizes().selectExpr("sentence_id", "sequence(0, cast(least(n_tokens, 3) as int) - 1) places"), "places").selectExpr("sentence_id", "array_join(places, ' ') places")),
+    "powerset_whole": lambda s, d: _whole_sets(s, d),
     "powerset": _bank(lambda c: match.subsets(c.dependencies.groupBy("sentence_id", "governor").agg(F.array_sort(F.collect_list("dependent")).alias("ds")), "ds", 2, 2).selectExpr("sentence_id", "governor", "subset[0] a", "subset[1] b")),
     "contingency_cells": _bank(lambda c: col.collexemes(c, COLLEXEME).select("lemma", *[rounded(x, _R).alias(k) for k, x in Table().cells().items()])),
     "count_methods": _bank(lambda c: cnt.method_counts(c, TWO_AMOD, 0)),
-    "legacy_subgraph_count": lambda s, d: cnt.edge_set_subgraphs(treebank(s, d), split_association(ASSOCIATION)),
+    "legacy_subgraph_count": lambda s, d: cnt.edge_set_subgraphs(treebank(s, d), split_association(BRANCHED)),
+    "legacy_isomorphisms": lambda s, d: cnt.isomorphism_counts(treebank(s, d), split_association(INCONSISTENT)),
+    "legacy_bundle": lambda s, d: cnt.legacy_bundle(treebank(s, d), split_association(ASSOCIATION)),
     "legacy_choke_points": lambda s, d: cnt.choke_points(treebank(s, d), split_association(ASSOCIATION)),
     "legacy_sentences": lambda s, d: cnt.sentence_signatures(treebank(s, d), split_association(ASSOCIATION)),
     "collexemes": _bank(lambda c: col.collexemes(c, COLLEXEME, digits=_R)),
@@ -280,6 +339,7 @@ QUERIES = {
     "upos_mapping": lambda s, d: _tagged(s, d).select("id", tags.upos(F.col("lemma"), F.col("tag"), F.col("rel"), F.col("gov")).alias("upos")),
     "wordclass_mapping": lambda s, d: _tagged(s, d).select("id", tags.word_class(F.col("tag")).alias("wc")),
     "conllu_parse": _conllu_lines,
+    "cwb_parse": _cwb_read,
     "cwb_export": _cwb_lines,
     "json_roundtrip": _bank(lambda c: formats.from_json(formats.to_json(c)).dependencies),
     "rank_correlation": _bank(_rank_correlation),
@@ -287,6 +347,12 @@ QUERIES = {
     **{f"measure_{m}": _measure_query(m) for m in MEASURES},
 }
 
+# Breadth-first order: by the fewest steps, then by the smallest way of (relation, place); starts come in their own order.
+_WALKS = """ways(sentence_id, position, steps, way) as (select sentence_id, position, 0, [('', position)] from ({start}) union all
+  select w.sentence_id, dependent, steps + 1, list_append(way, (relation, dependent)) from ways w join d on d.sentence_id = w.sentence_id and d.governor = w.position where steps < 20),
+ranked as (select sentence_id, position, cast(row_number() over (partition by sentence_id order by steps, way) - 1 as int) as rank from
+  (select sentence_id, position, steps, min(way) way from ways w where steps = (select min(steps) from ways v where v.sentence_id = w.sentence_id and v.position = w.position) group by all))"""
+
 ORACLES = {
     "association_strength": _association_sql(_ASS_FLAGS),
     "association_inconsistent": _association_sql(_INC_FLAGS),
@@ -299,7 +365,8 @@ ORACLES = {
     "filter_not_indep": f"{TREE} select sentence_id, position from t where wc = 'NOUN' and not exists (select 1 from d where d.sentence_id = t.sentence_id and dependent = position and relation in ('obj', 'conj'))",
     "filter_not_outdep": f"{TREE} select sentence_id, position from t where wc = 'VERB' and not exists (select 1 from d where d.sentence_id = t.sentence_id and governor = position and relation in ('iobj', 'obl'))",
     "filter_degree": f"{TREE} select sentence_id, position from t where indegree >= 1 and outdegree >= 2",
-    "filter_regexp": f"{TREE} select sentence_id, position, word from t where regexp_matches(word, '^[a-m].*/F$')",
+    "filter_regexp": f"{TREE} select sentence_id, position from t where regexp_matches(word, '^[a-m].*/F$') and not regexp_matches(lemma, '[xyz]')",
+    "size_reject": f"{TREE} select sentence_id from t group by sentence_id having count(*) >= 3 and (select count(*) from d where d.sentence_id = t.sentence_id) >= 2",
     "candidate_sentences": f"""{TREE} select sentence_id from t where wc = 'VERB' and outdegree >= 1 and not exists (select 1 from d where d.sentence_id = t.sentence_id and governor = position and relation in ('iobj', 'obl'))
   intersect select sentence_id from t where wc <> 'VERB' and indegree >= 1 and not exists (select 1 from d where d.sentence_id = t.sentence_id and dependent = position and relation = 'conj')""",
     "sensible_sentences": f"""{RAW}, r(sentence_id, position) as (select sentence_id, position from t where root union select r.sentence_id, dependent from r join d on d.sentence_id = r.sentence_id and governor = r.position)
@@ -315,7 +382,8 @@ select d.sentence_id, a.v as position, count(*) edges from d join e a on a.sente
     "match_negated": f"{TREE} select d.sentence_id, governor m0, dependent m1 from d join t a on a.sentence_id = d.sentence_id and a.position = governor join t b on b.sentence_id = d.sentence_id and b.position = dependent where a.wc = 'VERB' and b.wc <> 'VERB' and relation = 'obj' and not exists (select 1 from d z where z.sentence_id = a.sentence_id and z.governor = a.position and z.relation in ('iobj', 'obl')) and not exists (select 1 from d z where z.sentence_id = b.sentence_id and z.dependent = b.position and z.relation = 'conj')",
     "exists_pattern": f"{TREE} select distinct x.sentence_id from d x join d y on y.sentence_id = x.sentence_id and y.governor = x.dependent join t a on a.sentence_id = x.sentence_id and a.position = x.governor join t c on c.sentence_id = x.sentence_id and c.position = y.dependent where a.wc = 'VERB' and c.wc = 'NOUN' and y.relation <> 'det' and x.governor <> y.dependent",
     "rooted_matches": f"{TREE} select sentence_id, governor focus from d where relation = 'amod' group by all having count(*) >= 2",
-    "fixed_pair_count": f"{TREE} select sentence_id, count(*) * (count(*) - 1) embeddings from d where relation = 'amod' and governor = 0 group by sentence_id having count(*) >= 2",
+    "rooted_at_places": f"{TREE} select sentence_id, governor focus from d where relation = 'amod' and governor < 2 group by all having count(*) >= 2",
+    "fixed_pair_count": f"{TREE} select t.sentence_id, count(governor) * (count(governor) - 1) embeddings from t left join d on d.sentence_id = t.sentence_id and governor = t.position and relation = 'amod' where root group by t.sentence_id",
     "neighbourhood": f"""{TREE}, e as (select distinct d.sentence_id, least(governor, dependent) x, greatest(governor, dependent) y from d join t a on a.sentence_id = d.sentence_id and a.position = governor join t b on b.sentence_id = d.sentence_id and b.position = dependent where a.wc = 'VERB' and b.wc = 'NOUN' and relation = 'obj'),
 z as (select e.*, unnest([governor, dependent]) v from e join d on d.sentence_id = e.sentence_id and (governor in (x, y) or dependent in (x, y)))
 select sentence_id, x || ' ' || y vertices, string_agg(distinct v::varchar, ' ' order by v) neighbourhood from (select sentence_id, x, y, v from z group by all) group by sentence_id, x, y""".replace("string_agg(distinct v::varchar, ' ' order by v)", "array_to_string(list_sort(list(distinct v)), ' ')"),
@@ -330,7 +398,9 @@ select sentence_id, array_to_string(list_sort(list(distinct m0)), ' ') m0, array
     "contingency_cells": f"{TREE} select lemma, " + ", ".join(f"round({x}, {_R}) + 0::double {x}" for x in ("o11", "o12", "o21", "o22", "r1", "r2", "c1", "c2", "n", "e11", "e12", "e21", "e22")) + f" from ({_CELLS} from ({_COLLEX_ROWS}))",
     "count_methods": f"""{TREE}, m as (select x.sentence_id, x.governor m0, x.dependent m1, y.dependent m2 from d x join d y on y.sentence_id = x.sentence_id and y.governor = x.governor where x.relation = 'amod' and y.relation = 'amod' and x.dependent <> y.dependent)
 select 'embeddings' as method, count(*) n from m union all select 'subgraphs', count(distinct (sentence_id, list_sort([m0, m1, m2]))) from m union all select 'focus_points', count(distinct (sentence_id, m0)) from m union all select 'sentences', count(distinct sentence_id) from m""",
-    "legacy_subgraph_count": _legacy_sql(_ASS_FLAGS, "m0", "subgraphs"),
+    "legacy_subgraph_count": _legacy_sql(_BRANCHED_FLAGS, "m0 || ',' || a || ',' || b", "subgraphs"),
+    "legacy_isomorphisms": _legacy_sql(_INC_FLAGS, "m0 || ',' || m1", "embeddings"),
+    "legacy_bundle": " union all ".join(f"select * from ({_legacy_sql(flags, unit, name)})" for flags, unit, name in ((_ASS_FLAGS, "m0", "embeddings"), (_ASS_FLAGS, "m0", "subgraphs"), (_ASS_FLAGS, "m0", "focus_points"), (_SENT_FLAGS, "0", "sentences"))),
     "legacy_choke_points": _legacy_sql(_ASS_FLAGS, "m0", "focus_points"),
     "legacy_sentences": _legacy_sql(_SENT_FLAGS, "0", "sentences"),
     "collexemes": f"{TREE} " + _measured(_COLLEX_ROWS, "lemma").replace("R1 r1", "r1::bigint r1").replace("C1 c1", "c1::bigint c1"),
@@ -350,6 +420,14 @@ from d x join d y on y.sentence_id = x.sentence_id and (x.governor, x.dependent)
     "wordclass_mapping": f"""with {_TAGGED} select id, case when tag in ('CD', 'JJ') then 'ADJ' when tag = 'RB' then 'ADV' when tag in ('CC', 'IN', 'TO') then 'CONJ/PREP' when tag = 'DT' then 'DET'
   when tag in ('EX', 'WDT') then 'PRON' when tag = 'NFP' then 'PUNC' when tag = 'NN' then 'SUBST' when tag = 'VBZ' then 'VERB' else 'UNKNOWN' end wc from b""",
     "conllu_parse": f"{TREE} select * from d",
+    "cwb_parse": f"{TREE} select * from d",
+    "breadth_first": f"""{TREE}, {_WALKS.format(start="select sentence_id, position from t where root")} select sentence_id, position, rank from ranked""",
+    "breadth_first_fragments": f"""{TREE}, e as (select * from d where sentence_id % 2 = 0 and not (sentence_id % 4 = 0 and dependent = 2)),
+c(sentence_id, top, position) as (select sentence_id, position, position from t where sentence_id % 2 = 0 union select c.sentence_id, top, dependent from c join e on e.sentence_id = c.sentence_id and e.governor = c.position),
+s as (select sentence_id, min(top) top from (select c.sentence_id, top from c join (select sentence_id, count(*) n from t group by sentence_id) k on k.sentence_id = c.sentence_id group by c.sentence_id, top, n having count(*) = n) group by sentence_id),
+{_WALKS.replace(" d on", " e d on").format(start="select sentence_id, top as position from s union all select sentence_id, position from t where sentence_id % 2 = 0 and sentence_id not in (select sentence_id from s) and not exists (select 1 from e where e.sentence_id = t.sentence_id and e.dependent = t.position)")} select sentence_id, position, rank from ranked""",
+    "corpus_order": f"""{TREE}, {_WALKS.format(start="select sentence_id, position from t where root")} select sentence_id, array_to_string(list_sort(list(position)), ' ') places from ranked where rank < 3 group by sentence_id""",
+    "powerset_whole": """with p as (select distinct l_suppkey::bigint supplier, l_partkey k from lineitem where l_suppkey <= 3) select supplier, k::varchar subset from p union all select a.supplier, a.k || ' ' || b.k from p a join p b on a.supplier = b.supplier and a.k < b.k""",
     "json_roundtrip": f"{TREE} select * from d",
     "cwb_export": f"""{TREE}, i as (select sentence_id, dependent as position, '|' || string_agg(relation || '(' || (governor - dependent) || ',0)', '|' order by governor) || '|' x from d group by all),
 o as (select sentence_id, governor as position, '|' || string_agg(relation || '(0,' || (dependent - governor) || ')', '|' order by dependent) || '|' x from d group by all)

@@ -17,15 +17,17 @@ from dependra.plans.pattern import LABELS, LISTS, Pattern
 from dependra.sources.corpus import Corpus
 
 
-def label_test(column: str, value, negated: bool) -> Column:
+def label_test(column: str, value, negated: bool, regexp: bool = False) -> Column:
     if column == "root":  # the label is there or not
         yes = value in ("root", True)
         return F.col("root") if yes != negated else ~F.col("root") if yes else F.lit(False)
+    if regexp:
+        return ~F.col(column).rlike(value) if negated else F.col(column).rlike(value)
     return (F.col(column) != value) if negated else (F.col(column) == value)
 
 
-def vertex_tests(vertex: dict) -> list[Column]:
-    return [label_test(k.removeprefix("not_"), v, k.startswith("not_")) for k, v in vertex.items() if k.removeprefix("not_") in LABELS]
+def vertex_tests(vertex: dict, regexp: bool = False) -> list[Column]:
+    return [label_test(k.removeprefix("not_"), v, k.startswith("not_"), regexp) for k, v in vertex.items() if k.removeprefix("not_") in LABELS]
 
 
 def edge_test(edge: dict) -> Column:
@@ -33,9 +35,12 @@ def edge_test(edge: dict) -> Column:
     return reduce(lambda a, b: a & b, tests, F.lit(True))
 
 
-def candidates(corpus: Corpus, vertex: dict, name: str = "position", degrees: tuple[int, int] = (0, 0)) -> DataFrame:
-    """(sentence_id, name): the tokens that a vertex can stand for by its labels, forbidden relations and least degrees."""
-    rows = reduce(lambda df, t: df.where(t), vertex_tests(vertex), corpus.tokens)
+def candidates(corpus: Corpus, vertex: dict, name: str = "position", degrees: tuple[int, int] = (0, 0), regexp: bool = False) -> DataFrame:
+    """(sentence_id, name): the tokens that a vertex can stand for by its labels, forbidden relations and least degrees.
+
+    regexp: labels are regular expressions that are searched for.
+    """
+    rows = reduce(lambda df, t: df.where(t), vertex_tests(vertex, regexp), corpus.tokens)
     for kind, least in zip(("indegree", "outdegree"), degrees):
         if least:
             rows = rows.where(F.col(kind) >= least)

@@ -104,7 +104,8 @@ def canonical_order(labels: list[str], edges: list[tuple[int, int, str]]) -> lis
     """An order of the vertices that isomorphic labelled graphs share (up to automorphism).
 
     Colours are refined by the coloured neighbourhoods; what is left is told apart by the smallest serialisation over the
-    permutations within colour classes, found branch by branch.
+    permutations within colour classes, found branch by branch. Of vertices that can be exchanged (twins, or by an automorphism that the
+    search has met) only one is tried, so that symmetric graphs take no longer than others.
     """
     n = len(labels)
     out = [[(t, e) for s, t, e in edges if s == v] for v in range(n)]
@@ -123,9 +124,31 @@ def canonical_order(labels: list[str], edges: list[tuple[int, int, str]]) -> lis
                 return new
             colour = new
 
+    def twins(v: int, w: int) -> bool:
+        """Whether exchanging the two changes nothing."""
+        swap = lambda xs, a, b: sorted((b if x == a else x, e) for x, e in xs)
+        return swap(out[v], w, v) == sorted(out[w]) and swap(into[v], w, v) == sorted(into[w]) if not any(x in (v, w) for x, _ in out[v] + into[v] + out[w] + into[w]) else False
+
     best: list = [None, None]
+    same: list[list[int]] = []  # automorphisms that have been found
+
+    def alike(path: list[int]) -> list[int]:
+        """A name for the orbit of each vertex under the automorphisms found that leave the path where it is."""
+        top = list(range(n))
+
+        def find(x: int) -> int:
+            while top[x] != x:
+                x = top[x]
+            return x
+
+        for m in same:
+            if all(m[v] == v for v in path):
+                for v in range(n):
+                    x, y = sorted((find(v), find(m[v])))
+                    top[y] = x
+        return [find(v) for v in range(n)]
 
-    def search(colour: list[int]) -> None:
+    def search(colour: list[int], path: list[int]) -> None:
         colour = refine(colour)
         classes: dict[int, list[int]] = {}
         for v, c in enumerate(colour):
@@ -137,12 +160,26 @@ def canonical_order(labels: list[str], edges: list[tuple[int, int, str]]) -> lis
             text = sorted((at[s], at[t], e) for s, t, e in edges)
             if best[0] is None or text < best[0]:
                 best[:] = [text, order]
+            elif text == best[0]:
+                moved = [0] * n
+                for v, w in zip(best[1], order):
+                    moved[v] = w
+                same.append(moved)
             return
+        # Of those that can be exchanged, one is tried.
+        tried: list[int] = []
         for v in tied:
-            search([2 * c + (1 if c == colour[v] and w != v else 0) for w, c in enumerate(colour)])
+            if any(twins(v, w) for w in tried):
+                continue
+            if tried:
+                orbit = alike(path)
+                if any(orbit[v] == orbit[w] for w in tried):
+                    continue
+            search([2 * c + (1 if c == colour[v] and w != v else 0) for w, c in enumerate(colour)], [*path, v])
+            tried.append(v)
 
     first = {x: i for i, x in enumerate(sorted(set(labels)))}
-    search([first[x] for x in labels])
+    search([first[x] for x in labels], [])
     return best[1] if n else []
 
 

@@ -30,6 +30,11 @@ class Corpus:
         """The part whose sentence_id is in sentences."""
         return Corpus(*(t.join(sentences.select("sentence_id"), "sentence_id", "left_semi") for t in (self.tokens, self.dependencies)))
 
+    def sizes(self) -> DataFrame:
+        """(sentence_id, n_tokens, n_deps)."""
+        t = self.tokens.groupBy("sentence_id").agg(F.count("*").alias("n_tokens"))
+        return t.join(self.dependencies.groupBy("sentence_id").agg(F.count("*").alias("n_deps")), "sentence_id", "left").fillna(0, ["n_deps"])
+
     def graphs(self) -> DataFrame:
         """One row a sentence: sentence_id, tokens (by position), dependencies (by governor, dependent)."""
         t = self.tokens.groupBy("sentence_id").agg(F.array_sort(F.collect_list(F.struct("position", "word", "pos", "lemma", "wc", "root"))).alias("tokens"))

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from dependra.sources.corpus import Corpus, build, with_degrees
 
+#: The corpora of this session in the order of their use; beyond MOST, the one not used for longest is let go.
 _KEPT: dict[tuple, Corpus] = {}
+MOST = 4
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,4 +45,9 @@ def treebank(spark: SparkSession, sf_dir: str, raw: bool = False) -> Corpus:
             names = ["sentence_id", "position", "word", "pos", "lemma", "wc", "indegree", "outdegree", "root"]
             made = Corpus(with_degrees(tokens, deps).select(*names), deps)
         _KEPT[key] = made.persist()
+    _KEPT[key] = _KEPT.pop(key)
+    while len(_KEPT) > MOST:
+        old = _KEPT.pop(next(iter(_KEPT)))
+        for t in (old.tokens, old.dependencies):
+            t.unpersist()
     return _KEPT[key]

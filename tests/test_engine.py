@@ -238,3 +238,68 @@ def test_breadth_first_and_connected(spark):
     want = {frozenset(e) for _, e in structures.all_connected([(s, t) for s, t, _ in g[1]], 2, 4)}
     got = structures.connected_subgraphs(c, 2, 4).collect()
     assert {frozenset((e.g, e.d) for e in r.edges) for r in got} == want and len(got) == len(want)
+
+
+def test_canonical_order_of_symmetric_graphs():
+    """Equal leaves, equal branches and cycles: no factorial; the same text from any numbering."""
+    import time
+
+    star = [(0, i, "x") for i in range(1, 11)]
+    branches = [(0, i, "x") for i in range(1, 7)] + [(i, i + 6, "y") for i in range(1, 7)]
+    cycle = [(i, (i + 1) % 12, "x") for i in range(12)]
+    crown = [(a, 5 + b, "x") for a in range(5) for b in range(5) if a != b]
+    rng = random.Random(7)
+    for n, edges, most in ((11, star, 0.01), (13, branches, 0.1), (12, cycle, 0.1), (10, crown, 0.2)):
+        texts = set()
+        for _ in range(5):
+            perm = rng.sample(range(n), n)
+            moved = [(perm[s], perm[t], e) for s, t, e in edges]
+            took = []
+            for _ in range(3):
+                began = time.perf_counter()
+                order = canonical_order([""] * n, moved)
+                took.append(time.perf_counter() - began)
+            at = {v: i for i, v in enumerate(order)}
+            texts.add(tuple(sorted((at[s], at[t], e) for s, t, e in moved)))
+            assert min(took) < most
+        assert len(texts) == 1
+
+
+def test_legacy_refuses_impossible_units(spark):
+    from pyspark.errors import PySparkException
+
+    c = H.corpus(spark, G1)
+    verb = {"wc": "VERB"}
+    n, c_, b = Pattern((verb,), ()), Pattern((verb,), ()), Pattern((verb | {"lemma": "none"},), ())
+    with pytest.raises(PySparkException, match="inconsistent classification"):
+        counting.isomorphism_counts(c, Association(c_, c_, b, n, 0)).collect()
+    q = split_association(parse(QUERIES[0]))
+    assert {r["method"] for r in counting.legacy_bundle(c, q).collect()} == set(counting.METHODS)
+
+
+def test_fragments_and_induced_sets(spark):
+    from dependra.operators import match
+
+    loop = ([V("A"), V("B"), V("C"), V("D")], [(1, 2, "x"), (2, 1, "y"), (1, 3, "a"), (3, 0, "b")])
+    two = ([V("A"), V("B"), V("C")], [(0, 1, "x"), (2, 1, "a")])
+    c = H.corpus(spark, loop, two)
+    got = {}
+    for r in match.breadth_first(c, fragment=True).orderBy("sentence_id", "rank").collect():
+        got.setdefault(r.sentence_id, []).append(r.position)
+    assert got == {0: [1, 3, 2, 0], 1: [0, 2, 1]} and match.breadth_first(c).count() == 0
+    for i, (vs, es) in enumerate((loop, two)):
+        pairs = [(s, t) for s, t, _ in es]
+        want = {tuple(sorted(s)): sorted(e for e in pairs if set(e) <= s) for s in structures.node_induced(pairs, 1, 3)}
+        rows = structures.connected_vertex_sets(c, 1, 3).where(f"sentence_id = {i}").collect()
+        assert {tuple(r.vertices): sorted((e.g, e.d) for e in r.edges) for r in rows} == want and len(rows) == len(want)
+    one = structures.star_rows(c, places=spark.createDataFrame([(0, 3)], "sentence_id long, position int"))
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, structures.star_rows(c).where("sentence_id = 0 and center = 3").collect()))
+
+
+def test_sizes_and_dense_neighbourhoods(spark):
+    from dependra.operators import match
+
+    c = H.corpus(spark, G1, ([V("A", root="root")], []))
+    assert {tuple(r) for r in c.sizes().collect()} == {(0, 10, 9), (1, 1, 0)}
+    assert [r[0] for r in match.large_enough(c, Pattern(({}, {}), ((0, 1, {}),))).collect()] == [0]
+    assert [r[0] for r in graphs.sensible_sentences(c).orderBy("sentence_id").collect()] == [0, 1]

@@ -24,3 +24,4 @@ def test_query(spark, name):
 def test_entry(spark):
     assert entry.entry(spark).count() == 4
     assert set(entry.oracle_sql()) <= set(entry.queries())
+    assert all(isinstance(x, str) for x in entry.oracle_sql().values())
