@@ -125,6 +125,37 @@ def _larger(corpus):
     return structures.larger_structures(corpus, Pattern((VERB | {"lemma": _lemma(corpus)},), ()), max_size=3, min_coocc=2, digits=_R)
 
 
+def _signature(key: str, center: str, wc: str = "''") -> str:
+    """SQL of a text that names a structure around one vertex as DuckDB can make it too: the other vertices by their labels and edges to
+    that vertex, sorted, then the edges among them."""
+    links, nodes = f"from_json({key}, '{_LINKS}').links", f"from_json({key}, '{_LINKS}').nodes"
+    kind = f"array_join(transform(filter({nodes}, x -> x.id = V), x -> {wc}), '')"
+    own = f"filter({links}, e -> (e.source = {center} and e.target = V) or (e.target = {center} and e.source = V))"
+    label = f"concat({kind}, array_join(array_sort(transform({own}, e -> concat(if(e.source = {center}, 'o:', 'i:'), coalesce(e.relation, '')))), '+'))"
+    others = f"array_except(transform({nodes}, x -> x.id), array({center}))"
+    side = f"transform(filter({links}, f -> f.source <> {center} and f.target <> {center}), f -> concat({label.replace('V', 'f.source')}, '>', {label.replace('V', 'f.target')}, '=', coalesce(f.relation, '')))"
+    return f"concat(array_join(array_sort(transform({others}, v -> {label.replace('V', 'v')})), ';'), '|', array_join(array_sort({side}), ';'))"
+
+
+_LINKS = "nodes array<struct<id:int,wc:string,query:string>>, links array<struct<source:int,target:int,relation:string>>"
+
+
+def _stars(corpus, kind: str):
+    rows = structures.star_frequencies(structures.star_rows(corpus), skeleton=kind == "skeleton", labels=kind == "edge")
+    keep = ["length", "degrees", *(["relations", "pos", "wc"] if kind == "edge" else []), "star_freq", "center_freq"]
+    return rows.select(F.expr(_signature(f"{kind}_key", f"{kind}_center")).alias("star"), *keep)
+
+
+def _edge_to_skeleton(corpus):
+    rows = structures.edge_to_skeleton(structures.star_rows(corpus))
+    return rows.selectExpr(f"{_signature('edge_key', 'edge_center')} star", f"array_join(array_sort(transform(skeletons, k -> {_signature('k.skeleton_key', 'k.skeleton_center')})), ' ') skeletons")
+
+
+def _larger_signatures(corpus):
+    rows = _larger(corpus).withColumn("m", F.expr(f"filter(from_json(larger_structure, '{_LINKS}').nodes, x -> x.query = 'A')[0].id"))
+    return rows.withColumn("larger_structure", F.expr(_signature("larger_structure", "m", "concat(x.wc, ':')"))).drop("m")
+
+
 def _reach(spark, sf_dir):
     return graphs.reachable(treebank(spark, sf_dir, raw=True))
 
@@ -328,10 +359,11 @@ QUERIES = {
     "collexeme_topk": _bank(lambda c: col.top(col.collexemes(c, COLLEXEME, digits=_R), 10, "log_likelihood", "lemma")),
     "covarying": _bank(lambda c: col.covarying(c, COVARYING, digits=_R)),
     "covarying_inconsistencies": _bank(lambda c: col.covarying(c, SYMMETRIC, digits=_R)),
-    "larger_structures": _bank(_larger),
-    "star_frequencies": _bank(lambda c: structures.star_frequencies(structures.star_rows(c), labels=True)),
-    "skeleton_frequencies": _bank(lambda c: structures.star_frequencies(structures.star_rows(c), skeleton=True)),
-    "edge_to_skeleton": _bank(lambda c: structures.edge_to_skeleton(structures.star_rows(c)).selectExpr("edge_key", "edge_center", "size(skeletons) skeletons")),
+    "larger_structures": _bank(_larger_signatures),
+    "star_frequencies": _bank(lambda c: _stars(c, "edge")),
+    "skeleton_frequencies": _bank(lambda c: _stars(c, "skeleton")),
+    "edge_to_skeleton": _bank(_edge_to_skeleton),
+    "connected_vertex_sets": _bank(lambda c: _flat(structures.connected_vertex_sets(c, 3, 3))),
     "connected_subgraphs": _bank(lambda c: _flat(structures.connected_subgraphs(c, 3, 3, edges=2))),
     "token_cap": lambda s, d: _cap(s, d, {"max_tokens": 1000}),
     "sentence_cap": lambda s, d: _cap(s, d, {"max_sentences": 100}),
@@ -347,6 +379,34 @@ QUERIES = {
     **{f"measure_{m}": _measure_query(m) for m in MEASURES},
 }
 
+# All stars by hand: a centre, some of its edges, some of the edges among their other ends.
+_STARS = """i as (select sentence_id, governor v, dependent w, 'o:' || relation lab from d union all select sentence_id, dependent, governor, 'i:' || relation from d),
+n as (select sentence_id, v, list({{'w': w, 'lab': lab}} order by w) xs from i group by all),
+m as materialized (select row_number() over () r, sentence_id, v, list_filter(xs, lambda x, k: (mask >> (k - 1)) & 1 = 1) xs from (select *, unnest(range(1, (1 << len(xs))::bigint)) mask from n)),
+p as (select r, sentence_id, unnest(xs, recursive := true) from m where len(xs) > 1),
+z as (select a.r, list({{'g': a.w, 'd': b.w, 'la': a.lab, 'lb': b.lab, 'rel': relation}}) es from p a join d on d.sentence_id = a.sentence_id and governor = a.w join p b on b.r = a.r and dependent = b.w group by a.r),
+y as (select *, list_filter(coalesce(es, []), lambda e, k: (side >> (k - 1)) & 1 = 1) ss from (select m.r, sentence_id, v, xs, es, unnest(range(0, (1 << len(coalesce(es, [])))::bigint)) side from m left join z on z.r = m.r)),
+s as materialized (select sentence_id, v, len(xs) + 1 length,
+  array_to_string(list_sort(list_transform(xs, lambda x: x.lab)), ';') || '|' || array_to_string(list_sort(list_transform(ss, lambda e: e.la || '>' || e.lb || '=' || e.rel)), ';') star,
+  array_to_string(list_sort(list_transform(xs, lambda x: x.lab[1:2])), ';') || '|' || array_to_string(list_sort(list_transform(ss, lambda e: e.la[1:2] || '>' || e.lb[1:2] || '=')), ';') skeleton,
+  array_to_string(list_reverse_sort(list_concat([len(xs)], list_transform(xs, lambda x: 1 + len(list_filter(ss, lambda e: e.g = x.w or e.d = x.w))))), ' ') degrees,
+  array_to_string(list_sort(list_concat(list_transform(xs, lambda x: x.lab[3:]), list_transform(ss, lambda e: e.rel))), ' ') relations from y)""".replace("{{", "{").replace("}}", "}")
+
+# What surrounds a verb up to two vertices, all of them next to it: by its edges to them, and by an edge between them.
+_AROUND = """l as (select lemma from t group by lemma order by count(*) desc, lemma limit 1),
+q as (select sentence_id, position v, lemma = (select lemma from l) fa from t where wc = 'VERB'),
+i as (select e.sentence_id, v, w, wc || ':' || lab lab, wc || ':' bare from (select sentence_id, governor v, dependent w, 'o:' || relation lab from d union all select sentence_id, dependent, governor, 'i:' || relation from d) e join t on t.sentence_id = e.sentence_id and position = w),
+ab as (select a.sentence_id, a.v, a.w x, b.w y, a.lab la, b.lab lb, a.bare ba, b.bare bb from i a join i b on a.sentence_id = b.sentence_id and a.v = b.v and a.w < b.w),
+sd as (select ab.*, governor = x fwd, relation from ab join d on d.sentence_id = ab.sentence_id and ((governor = x and dependent = y) or (governor = y and dependent = x))),
+p as (select sentence_id, v, [la, lb] ls, '' side from ab union all
+  select sentence_id, v, [a, b], case when fwd then a || '>' || b else b || '>' || a end || '=' || relation from (select sentence_id, v, fwd, relation, la a, lb b from sd union all select sentence_id, v, fwd, relation, la, bb from sd union all select sentence_id, v, fwd, relation, ba, lb from sd)),
+k as materialized (select distinct sentence_id, v, larger_structure, fa from (select sentence_id, v, lab || '|' larger_structure from i union all select sentence_id, v, array_to_string(list_sort(ls), ';') || '|' || side from p) join q using (sentence_id, v)),
+u as (select unnest(['embeddings', 'subgraphs', 'focus_points']) as method, sentence_id, v, larger_structure, fa from k union all select 'sentences', sentence_id, 0, larger_structure, max(fa) from k group by all),
+own as (select unnest(['embeddings', 'subgraphs', 'focus_points']) as method, sentence_id, v, fa from q union all select 'sentences', sentence_id, 0, max(fa) from q group by sentence_id),
+g as (select larger_structure, u.method, count(*) filter (u.fa) o11, count(*) b, count(*) filter (own.fa) ab from u join own on u.method = own.method and u.sentence_id = own.sentence_id and u.v = own.v group by all),
+r as (select larger_structure, g.method, o11::double o11, a - (ab - o11) / 2 r1, b - (ab - o11) / 2 c1, n::double n, (ab - o11)::bigint inconsistent from g join (select method, count(*) n, count(*) filter (fa) a from own group by method) using (method)
+  where larger_structure in (select larger_structure from g where method = 'sentences' and o11 >= 2) and o11 > 0)"""
+
 # Breadth-first order: by the fewest steps, then by the smallest way of (relation, place); starts come in their own order.
 _WALKS = """ways(sentence_id, position, steps, way) as (select sentence_id, position, 0, [('', position)] from ({start}) union all
   select w.sentence_id, dependent, steps + 1, list_append(way, (relation, dependent)) from ways w join d on d.sentence_id = w.sentence_id and d.governor = w.position where steps < 20),
@@ -407,6 +467,13 @@ select 'embeddings' as method, count(*) n from m union all select 'subgraphs', c
     "collexeme_topk": f"{TREE} select * from (" + _measured(_COLLEX_ROWS, "lemma").replace("R1 r1", "r1::bigint r1").replace("C1 c1", "c1::bigint c1") + ") order by log_likelihood desc nulls last, lemma desc limit 10",
     "covarying": _covarying_sql("select d.sentence_id, a.lemma item_a, b.lemma item_b, governor || ',' || dependent emb, least(governor, dependent) || ',' || greatest(governor, dependent) sub, governor::varchar foc from d join t a on a.sentence_id = d.sentence_id and a.position = governor join t b on b.sentence_id = d.sentence_id and b.position = dependent where a.wc = 'VERB' and relation = 'amod'", "sub", "foc"),
     "covarying_inconsistencies": _covarying_sql("select x.sentence_id, a.lemma item_a, b.lemma item_b, x.governor || ',' || x.dependent || ',' || y.dependent emb, x.governor || ',' || least(x.dependent, y.dependent) || ',' || greatest(x.dependent, y.dependent) sub, x.governor::varchar foc from d x join d y on y.sentence_id = x.sentence_id and y.governor = x.governor join t a on a.sentence_id = x.sentence_id and a.position = x.dependent join t b on b.sentence_id = x.sentence_id and b.position = y.dependent where x.relation = 'amod' and y.relation = 'amod' and x.dependent <> y.dependent", "sub", "foc"),
+    "star_frequencies": f"{TREE}, {_STARS} select star, length, degrees, relations, pos, wc, count(*) star_freq, count(distinct (s.sentence_id, v)) center_freq from s join t on t.sentence_id = s.sentence_id and position = v group by all",
+    "skeleton_frequencies": f"{TREE}, {_STARS} select skeleton star, length, degrees, count(*) star_freq, count(distinct (sentence_id, v)) center_freq from s group by all",
+    "edge_to_skeleton": f"{TREE}, {_STARS} select star, array_to_string(list_sort(list(distinct skeleton)), ' ') skeletons from s group by star",
+    "larger_structures": f"{TREE}, {_AROUND} " + _measured("select * from r", "larger_structure, method", ", inconsistent").replace("R1 r1", "r1::double r1").replace("C1 c1", "c1::double c1"),
+    "connected_vertex_sets": f"""{TREE}, e as (select sentence_id, governor v, dependent w from d union select sentence_id, dependent, governor from d),
+s as (select distinct x.sentence_id, list_sort([x.v, x.w, y.w]) vs from e x join e y on y.sentence_id = x.sentence_id and y.v = x.v and y.w <> x.w)
+select s.sentence_id, array_to_string(vs, ' ') vertices, string_agg(governor || '>' || dependent, ' ' order by governor, dependent) edges from s join d on d.sentence_id = s.sentence_id and governor in (vs[1], vs[2], vs[3]) and dependent in (vs[1], vs[2], vs[3]) group by s.sentence_id, vs""",
     "connected_subgraphs": f"""{TREE} select x.sentence_id, array_to_string(list_sort(list_distinct([x.governor, x.dependent, y.governor, y.dependent])), ' ') vertices, x.governor || '>' || x.dependent || ' ' || y.governor || '>' || y.dependent edges
 from d x join d y on y.sentence_id = x.sentence_id and (x.governor, x.dependent) < (y.governor, y.dependent) and (x.governor in (y.governor, y.dependent) or x.dependent in (y.governor, y.dependent)) where len(list_distinct([x.governor, x.dependent, y.governor, y.dependent])) = 3""",
     "token_cap": f"{TREE}, z as (select sentence_id, count(*) size from t group by sentence_id) select sentence_id from (select sentence_id, coalesce(sum(size) over (order by sentence_id rows between unbounded preceding and 1 preceding), 0) before from z) where before <= 1000",
