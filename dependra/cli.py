@@ -60,7 +60,7 @@ def convert(spark, a) -> None:
         rows = formats.generated_ids(rows.drop("original_id"), "ord")
     corpus = admitted((formats.conllu_corpus if a.format == "conllu" else formats.cwb_corpus)(rows).persist())
     corpus.write(a.db)
-    rows.selectExpr("ord sentence_id", "original_id").join(corpus.tokens.select("sentence_id").distinct(), "sentence_id", "left_semi").write.parquet(f"{a.db}/sentences")
+    rows.selectExpr("ord sentence_id", "original_id").join(corpus.sizes(), "sentence_id").write.parquet(f"{a.db}/sentences")
 
 
 def draw(spark, a) -> None:
@@ -71,6 +71,13 @@ def corenlp_json(spark, a) -> None:
     formats.write_corenlp_conllu(formats.read_corenlp_json(spark, a.json), a.output)
 
 
+def corenlp_xml(spark, a) -> None:
+    """CWB text: a line of seven columns for each token."""
+    body = F.expr("array_join(transform(rows, r -> array_join(r, '\t')), '\n')")
+    head = F.concat(F.lit('<s id="'), "original_id", F.lit('" len="'), F.size("rows"), F.lit('">\n'))
+    formats.read_corenlp_xml(spark, a.xml).select(F.concat(head, body, F.lit("\n</s>")).alias("value")).write.text(a.output)
+
+
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(description=__doc__)
     tools = top.add_subparsers(required=True)
@@ -102,8 +109,9 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--max-tokens", type=int, default=0)
     p = tool("draw", draw, "corpus")
     p.add_argument("-o", "--output", required=True)
-    p = tool("corenlp_json", corenlp_json, "json")
-    p.add_argument("-o", "--output", required=True)
+    for name, f, kind in (("corenlp_json", corenlp_json, "json"), ("corenlp_xml", corenlp_xml, "xml")):
+        p = tool(name, f, kind)
+        p.add_argument("-o", "--output", required=True)
     return top
 
 

@@ -263,6 +263,42 @@ def _conllu_lines(spark, sf_dir):
     return _with_names(formats.read_conllu(spark, path), formats.conllu_corpus).dependencies
 
 
+_PENN = "element_at(map('VERB', 'VBZ', 'NOUN', 'NN', 'ADJ', 'JJ'), wc)"
+
+
+def _corenlp_json(spark, sf_dir):
+    """The treebank as documents of CoreNLP's JSON, eight of them, converted to CoNLL-U rows."""
+    bank = treebank(spark, sf_dir)
+    tokens = bank.tokens.selectExpr("sentence_id", "root", f"named_struct('index', position + 1, 'word', word, 'lemma', lemma, 'pos', {_PENN}, 'originalText', word, 'after', ' ') t")
+    tokens = tokens.groupBy("sentence_id").agg(F.array_sort(F.collect_list("t")).alias("tokens"), F.expr("max(if(root, t.index, null))").alias("root"))
+    deps = bank.dependencies.selectExpr("sentence_id", "named_struct('governor', governor + 1, 'dependent', dependent + 1, 'dep', relation) d").groupBy("sentence_id").agg(F.array_sort(F.collect_list("d")).alias("ds"))
+    every = "concat(array(named_struct('governor', 0, 'dependent', root, 'dep', 'ROOT')), coalesce(ds, array()))"
+    one = tokens.join(deps, "sentence_id", "left").selectExpr("sentence_id % 8 k", f"named_struct('index', cast(sentence_id as int), 'tokens', tokens, 'basicDependencies', filter({every}, d -> d.dep <> 'conj'), 'enhancedPlusPlusDependencies', {every}) s")
+    docs = one.groupBy("k").agg(F.to_json(F.struct(F.collect_list("s").alias("sentences"))).alias("value"))
+    path = _files(spark, lambda p: docs.select("value").write.option("maxRecordsPerFile", 1).text(p))
+    return formats.read_corenlp_json(spark, path).selectExpr("cast(original_id as long) sentence_id", "text", "explode(rows) r").selectExpr("sentence_id", "text", "array_join(r, '\t') line")
+
+
+def _corenlp_xml(spark, sf_dir):
+    """The treebank as CoreNLP's XML, converted to CWB rows."""
+    bank = treebank(spark, sf_dir)
+    tokens = bank.tokens.selectExpr("sentence_id", "position", "root", f"concat('<token id=\"', position + 1, '\"><word>', word, '</word><lemma>', lemma, '</lemma><POS>', {_PENN}, '</POS></token>') x")
+    tokens = tokens.groupBy("sentence_id").agg(F.expr("array_join(array_sort(collect_list(struct(position, x))).x, '')").alias("ts"), F.expr("max(if(root, position + 1, null))").alias("root"))
+    dep = "concat('<dep type=\"', relation, '\"><governor idx=\"', governor + 1, '\">x</governor><dependent idx=\"', dependent + 1, '\">x</dependent></dep>')"
+    deps = bank.dependencies.selectExpr("sentence_id", "governor", "dependent", f"{dep} x").groupBy("sentence_id").agg(F.expr("array_join(array_sort(collect_list(struct(governor, dependent, x))).x, '')").alias("ds"))
+    text = """concat('<sentence id="', sentence_id, '"><tokens>', ts, '</tokens><dependencies type="basic-dependencies"></dependencies><dependencies type="enhanced-plus-plus-dependencies"><dep type="root"><governor idx="0">ROOT</governor><dependent idx="', root, '">x</dependent></dep>', coalesce(ds, ''), '</dependencies></sentence>')"""
+    rows = tokens.join(deps, "sentence_id", "left").selectExpr("sentence_id % 8 k", f"{text} s").groupBy("k").agg(F.expr("concat('<root><document><sentences>', array_join(collect_list(s), '\n'), '</sentences></document></root>')").alias("value"))
+    path = _files(spark, lambda p: rows.select("value").write.option("maxRecordsPerFile", 1).text(p))
+    return formats.read_corenlp_xml(spark, path).selectExpr("cast(original_id as long) sentence_id", "posexplode(rows) as (position, r)").selectExpr("sentence_id", "position", "array_join(r, '\t') line")
+
+
+def _association_tsv(spark, sf_dir):
+    """The association as the tool writes it, read back from the file."""
+    rows = col.wide(cnt.association(treebank(spark, sf_dir), split_association(ASSOCIATION), _R).withColumn("query_number", F.lit(1)), ["query_number"])
+    path = _files(spark, lambda p: formats.write_tsv(rows, p))
+    return spark.read.schema(rows.schema).csv(path, sep="\t", header=True)
+
+
 def _with_names(rows, make):
     """The corpus with the numbers that its sentences are named by."""
     c = make(rows.withColumn("ord", F.expr("try_cast(original_id as long)")))
@@ -372,6 +408,11 @@ QUERIES = {
     "wordclass_mapping": lambda s, d: _tagged(s, d).select("id", tags.word_class(F.col("tag")).alias("wc")),
     "conllu_parse": _conllu_lines,
     "cwb_parse": _cwb_read,
+    "corenlp_json": _corenlp_json,
+    "corenlp_xml": _corenlp_xml,
+    "association_tsv": _association_tsv,
+    "adjacency_roundtrip": _bank(lambda c: formats.from_adjacency(formats.to_adjacency(c)).dependencies),
+    "chemical_export": _bank(lambda c: formats.to_chemical(c).selectExpr("sentence_id", "value")),
     "cwb_export": _cwb_lines,
     "json_roundtrip": _bank(lambda c: formats.from_json(formats.to_json(c)).dependencies),
     "rank_correlation": _bank(_rank_correlation),
@@ -488,6 +529,21 @@ from d x join d y on y.sentence_id = x.sentence_id and (x.governor, x.dependent)
   when tag in ('EX', 'WDT') then 'PRON' when tag = 'NFP' then 'PUNC' when tag = 'NN' then 'SUBST' when tag = 'VBZ' then 'VERB' else 'UNKNOWN' end wc from b""",
     "conllu_parse": f"{TREE} select * from d",
     "cwb_parse": f"{TREE} select * from d",
+    "adjacency_roundtrip": f"{TREE} select * from d",
+    "association_tsv": f"select 1 query_number, " + ", ".join(f"max({x}) filter (method = '{m}') {m}_{x}" for m in cnt.METHODS for x in ("o11", "r1", "c1", "n", "inconsistent", "log_likelihood", "t_score", "dice")) + f" from ({_association_sql(_ASS_FLAGS)})",
+    "chemical_export": f"""{TREE}, k as (select sentence_id, position, dense_rank() over (order by word, pos, lemma, wc) id from t), e as (select *, dense_rank() over (order by relation) id from d),
+x as (select sentence_id, 0 k, position a, 0 b, 'v ' || position || ' ' || id l from k union all select sentence_id, 1, governor, dependent, 'e ' || governor || ' ' || dependent || ' ' || id from e)
+select sentence_id, 't # ' || chr(10) || string_agg(l, chr(10) order by k, a, b) as value from x group by sentence_id""",
+    "corenlp_json": f"""{TREE}, p as (select *, case wc when 'VERB' then 'VBZ' when 'NOUN' then 'NN' else 'JJ' end tag from t),
+h as (select sentence_id, dependent as position, min(governor) + 1 head, arg_min(relation, governor) rel from d where relation <> 'conj' group by all),
+e as (select sentence_id, dependent as position, string_agg((governor + 1) || ':' || relation, '|' order by governor, relation) deps from d group by all),
+w as (select sentence_id, string_agg(word, ' ' order by position) as text from t group by all)
+select p.sentence_id, w.text, concat_ws(chr(9), p.position + 1, word, lemma, wc, tag, '_', case when root then 0 else head end, case when root then 'root' else rel end, case when root then concat_ws('|', '0:root', deps) else deps end, '_') line
+from p join w on w.sentence_id = p.sentence_id left join h on h.sentence_id = p.sentence_id and h.position = p.position left join e on e.sentence_id = p.sentence_id and e.position = p.position""",
+    "corenlp_xml": f"""{TREE}, i as (select sentence_id, dependent as position, '|' || string_agg(relation || '(' || (governor - dependent) || ',0)', '|' order by governor) || '|' x from d group by all),
+o as (select sentence_id, governor as position, '|' || string_agg(relation || '(0,' || (dependent - governor) || ')', '|' order by dependent) || '|' x from d group by all)
+select t.sentence_id, t.position, concat_ws(chr(9), word, case wc when 'VERB' then 'VBZ' when 'NOUN' then 'NN' else 'JJ' end, lemma, case wc when 'VERB' then 'VERB' when 'NOUN' then 'SUBST' else 'ADJ' end, coalesce(i.x, '|'), coalesce(o.x, '|'), case when root then 'root' else '' end) line
+from t left join i on i.sentence_id = t.sentence_id and i.position = t.position left join o on o.sentence_id = t.sentence_id and o.position = t.position""",
     "breadth_first": f"""{TREE}, {_WALKS.format(start="select sentence_id, position from t where root")} select sentence_id, position, rank from ranked""",
     "breadth_first_fragments": f"""{TREE}, e as (select * from d where sentence_id % 2 = 0 and not (sentence_id % 4 = 0 and dependent = 2)),
 c(sentence_id, top, position) as (select sentence_id, position, position from t where sentence_id % 2 = 0 union select c.sentence_id, top, dependent from c join e on e.sentence_id = c.sentence_id and e.governor = c.position),
