@@ -243,5 +243,5 @@ select a.doc_id, a.item_id, a.overlap question_overlap, b.overlap answer_overlap
 
 
 def leak_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that leak a benchmark item go."""
+    """Documents that leak a benchmark item go; null and empty texts leak nothing, of repeated rows all go."""
     return drop_leaking(docs, table(spark, sf_dir, "benchmark"), Scratch(spark))

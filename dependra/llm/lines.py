@@ -167,6 +167,6 @@ from x group by r, doc_id
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without their repeated lines; n_chars follows the text."""
+    """Documents without their repeated lines; n_chars follows the text. Null texts, and rows with a null doc_id, stay as they are; no document goes."""
     out = drop_repeated_lines(docs, Scratch(spark))
     return out.withColumn("n_chars", F.expr("if(n_dropped > 0, cast(char_length(text) as bigint), n_chars)")).select(*docs.columns)

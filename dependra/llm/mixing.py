@@ -77,4 +77,6 @@ select doc_id, source, text, copy, md5('17:mix:' || key || ':' || copy) mix_key
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mixture wants them, with copy and mix_key, in its order. A null source is one of its own; repeated rows are each
+    counted and drawn alike."""
     return mix_sources(docs)

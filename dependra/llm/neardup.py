@@ -367,5 +367,6 @@ from s left join c on s.ss = c.ss left join m on m.rep = c.rep
 
 
 def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (5-word shingles, similarity 0.8) stays."""
+    """One document of each group of near copies (5-word shingles, similarity 0.8) stays: the one with the smallest doc_id, and one row of
+    it. Rows with a null doc_id, and texts without words, stay."""
     return drop_near_duplicates(docs, Scratch(spark))

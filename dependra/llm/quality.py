@@ -156,7 +156,8 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go: score under 0.3, for null and empty texts too. Repeated rows are each judged; an empty table
+    stays empty."""
     columns = docs.columns
     model = fit_quality(docs, learnable(table(spark, sf_dir, "labels")))
     return score_quality(docs, model).where("predicted = 1").select(*columns)

@@ -294,3 +294,50 @@ def test_op1_by_brute_force(spark):
         assert got[i].lang_pred == model.langs[int(s.argmax())] and abs(got[i].score - 1 / np.exp(s - s.max()).sum()) < 1e-6
         assert got[i].held_out == (__import__("zlib").crc32(str(i).encode()) % 3 == 1)
     assert len(got) == docs.count()
+
+
+def plain_score(model, text):
+    """A score from sizes of blocks compressed one by one, each of which gives its text back, and the formula written out."""
+    import zstandard
+
+    data = (text or "").encode()
+    f = [1.0, 0, 0, 0, 0, 0]
+    if data:
+        sizes = []
+        for held in (model.good, model.bad):
+            kind = zstandard.DICT_TYPE_AUTO if held[:4] == (0xEC30A437).to_bytes(4, "little") else zstandard.DICT_TYPE_RAWCONTENT
+            made = zstandard.ZstdCompressionDict(held, dict_type=kind)
+            made.precompute_compress(level=model.level)
+            total = 0
+            for i in range(0, len(data), model.block):
+                part = data[i : i + model.block]
+                frame = zstandard.ZstdCompressor(level=model.level, dict_data=made, write_content_size=False, write_checksum=False, write_dict_id=False).compress(part)
+                assert zstandard.ZstdDecompressor(dict_data=made).decompress(frame, max_output_size=len(part)) == part
+                total += len(frame)
+            sizes.append(total)
+        g, b = sizes
+        diff, ratio, size = (b - g) / (b + g), min(b, g) / len(data), math.log(1 + len(data)) / 8
+        f[1:] = diff, diff * size, min(ratio, 1.5), math.exp(-8 * ratio), size
+    return 1 / (1 + math.exp(-sum(x * w for x, w in zip(f, model.weights))))
+
+
+def test_op10_by_brute_force(spark):
+    import zlib
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = quality.fit_quality(docs, quality.learnable(spark.read.parquet(f"{sf}/labels.parquet")))
+    got = {r.doc_id: r for r in quality.op10_quality(spark, sf).collect()}
+    for i, text in cases.texts(docs):
+        score = plain_score(model, text)
+        assert abs(got[i].score - score) < 1e-9 and got[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0)
+        assert got[i].predicted == int(got[i].score >= 0.3) and got[i].predicted == int(score >= 0.3)
+    assert len(got) == docs.count()
+
+
+def test_samples(spark):
+    from dependra.llm.common import sampled
+
+    df = spark.range(20000).selectExpr("id", "case when id % 2 = 0 then 'often' when id < 100 then 'rare' when id % 10 = 1 then null else concat('v', id) end kind")
+    n = {r.kind: r["count"] for r in sampled(df, "kind", 300, "id", 3).groupBy("kind").count().collect()}
+    assert 220 < n["often"] < 380 and n["rare"] == 50 and None not in n and len(n) > 7000
