@@ -149,6 +149,20 @@ def component_labels(scratch: Scratch, nodes: DataFrame, edges: DataFrame, name:
     return nodes.join(now.groupBy("u").agg(F.min("v").alias("m")), nodes["id"] == F.col("u"), "left").selectExpr("id", "coalesce(m, id) component")
 
 
+def hot_join(rows: DataFrame, counts: DataFrame, keys: list[str], n: str, hot: int = 2000) -> DataFrame:
+    """rows joined with counts, whose column n says how many of rows have its keys.
+
+    Keys in more than one of `hot` rows are at most `hot` in number: these are broadcast. All others meet their rows by a shuffle, in which
+    none of them is large.
+    """
+    from pyspark.sql import functions as F
+
+    bound = rows.count() / hot
+    few = counts.where(F.col(n) > bound)
+    rest = rows.join(F.broadcast(few.select(*keys)), keys, "left_anti").join(counts.where(F.col(n) <= bound), keys)
+    return rows.join(F.broadcast(few), keys).unionByName(rest)
+
+
 def with_python(df: DataFrame, make, new: str, keep: list[str] | None = None, text: str = "text") -> DataFrame:
     """df's columns (or those of keep) and new ones that Python makes from slices of record batches.
 

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dependra.llm.common import Scratch, slices, table, with_python
+from dependra.llm.common import Scratch, hot_join, slices, table, with_python
 
 BLANK = " \t\n\x0b\x0c\r"
 
@@ -115,12 +115,7 @@ def drop_repeated_lines(docs: DataFrame, scratch: Scratch, min_chars: int = 40,
         runs.add(lines.where(F.col("batch") == i).select("doc_id", "key"))
     often = scratch.save(runs.frequent(min_docs), "often")
     runs.close()
-    lines = lines.select("doc_id", "key")
-    # At most `hot` keys can have more than one of `hot` rows.
-    few = often.where(F.col("n_docs") > lines.count() / hot).selectExpr("key k", "max_doc")
-    rest = often.join(F.broadcast(few), F.expr("key = k"), "left_anti").select("key", "max_doc")
-    gone = lines.join(F.broadcast(few), F.expr("key = k")).select("doc_id", "key", "max_doc")
-    gone = gone.unionAll(lines.join(F.broadcast(few), F.expr("key = k"), "left_anti").join(rest, "key").select("doc_id", "key", "max_doc"))
+    gone = hot_join(lines.select("doc_id", "key"), often, ["key"], "n_docs", hot)
     gone = gone.where("doc_id <> max_doc").groupBy("doc_id").agg(F.collect_set("key").alias("gone__"))
 
     def make():

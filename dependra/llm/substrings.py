@@ -15,8 +15,8 @@ group have the same longest Lyndon prefix, and one more walk over the pointers e
 nothing recurses. Time and memory are linear whatever the text.
 
 An anchor with more than `most` distinct segments isn't brought together: its windows are counted by 128-bit hashes with
-map-side aggregation instead, which gives the same spans and has no bound. Copies of a segment with more than one of `hot` rows are
-so few kinds (at most `hot`) that they are broadcast to their rows; the others meet theirs by a shuffle.
+map-side aggregation instead, which gives the same spans and has no bound. Anchors and kinds of segments in more than one of `hot` rows are
+so few (at most `hot`) that they are broadcast to their rows; the others meet theirs by a shuffle.
 
 Defined cases: null texts are empty; texts shorter than `length` keep all bytes. Rows with one doc_id, or none, are documents of their own.
 Matches never cross documents. Other columns pass through; n_bytes, spans and kept are replaced.
@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dependra.llm.common import Scratch, mix, slices, table
+from dependra.llm.common import Scratch, hot_join, mix, slices, table
 from dependra.llm.neardup import grouped
 
 #: Window starts that are handled at a time, so that very long texts take no more memory.
@@ -253,20 +253,17 @@ def drop_repeated_substrings(docs: DataFrame, scratch: Scratch, length: int = 20
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(z)) for z in (rid, anchor)] + [pa.array(np.array(whole, np.uint64).view(np.int64)), pa.array(np.concatenate(xm))], names=["rid", "a", "c", "xm"])
 
     segs = scratch.save(texts.mapInArrow(cut, "rid long, a long, c long, xm long"), "segments")
-    multi = scratch.save(segs.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a"), "anchors")
-    found = scratch.save(segs.join(multi, "a", "left_semi"), "found")
+    multi = scratch.save(segs.groupBy("a").agg(F.count("*").alias("n")).where("n > 1"), "anchors")
+    found = scratch.save(hot_join(segs, multi, ["a"], "n", hot).drop("n"), "found")
     scratch.drop("segments")
     scratch.collect_garbage()
     kinds = scratch.save(found.groupBy("a", "c").agg(F.count("*").alias("n"), F.min(F.struct("rid", "xm")).alias("e")).selectExpr("a", "c", "n", "e.rid rid", "e.xm xm"), "kinds")
-    # Segments that occur twice repeat as a whole. At most `hot` kinds can have more than one of `hot` rows.
-    bound = found.count() / hot
-    few = F.broadcast(kinds.where((F.col("n") > 1) & (F.col("n") > bound)).selectExpr("a a2", "c c2"))
-    same = F.expr("a = a2 and c = c2")
-    whole = found.join(few, same, "left_semi").unionAll(found.join(few, same, "left_anti").join(kinds.where((F.col("n") > 1) & (F.col("n") <= bound)).select("a", "c"), ["a", "c"], "left_semi").select(*found.columns))
+    # Segments that occur twice repeat as a whole.
+    whole = hot_join(found, kinds.where("n > 1").select("a", "c", "n"), ["a", "c"], "n", hot)
     hits = [whole.selectExpr("rid", "shiftright(xm, 20) s", f"shiftright(xm, 20) + (xm & 1048575) - 1 + {length} e")]
     # Distinct segments of one anchor are compared.
     wide = kinds.groupBy("a").agg(F.count("*").alias("k")).where("k > 1")
-    wide = scratch.save(kinds.join(wide, "a").select("a", "n", "k", "rid", "xm"), "wide")
+    wide = scratch.save(hot_join(kinds, wide, ["a"], "k", hot).select("a", "n", "k", "rid", "xm"), "wide")
     places = wide.groupBy("rid").agg(F.collect_list(F.struct("a", "n", "k", "xm")).alias("ps"))
 
     def contexts(batches):
