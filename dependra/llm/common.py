@@ -192,10 +192,11 @@ def with_python(df: DataFrame, make, new: str, keep: list[str] | None = None, te
 def sampled(df: DataFrame, by: str, most: int, key: str, seed: int) -> DataFrame:
     """About `most` rows of each value of `by`, picked by a hash of `key`: all rows where there are fewer.
 
-    Values are counted and joined where they lie; none reaches the driver. The rows expected of a value are bounded by `most`.
+    Values are counted and joined where they lie; none reaches the driver, and frequent ones aren't shuffled. The rows expected of a value are
+    bounded by `most`.
     """
     from pyspark.sql import functions as F
 
-    counts = df.where(F.col(by).isNotNull()).groupBy(F.col(by).alias("by__")).agg(F.count("*").alias("of__"))
+    some = df.where(F.col(by).isNotNull())
     u = F.expr(f"pmod(xxhash64({key}, {seed}), 1000000)")
-    return df.join(counts, F.col(by) == F.col("by__")).where(u < F.ceil(F.lit(most * 1_000_000) / F.col("of__"))).drop("by__", "of__")
+    return hot_join(some, some.groupBy(by).agg(F.count("*").alias("of__")), [by], "of__").where(u < F.ceil(F.lit(most * 1_000_000) / F.col("of__"))).select(*df.columns)
