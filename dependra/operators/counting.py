@@ -134,9 +134,9 @@ def legacy_bundle(corpus: Corpus, query: Association) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
-def merge(*results: DataFrame) -> DataFrame:
-    """Adds up the contingency tables (method, o11, r1, c1, n, inconsistent) of parts of a corpus."""
+def merge(*results: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Adds up the contingency tables (method, o11, r1, c1, n, inconsistent) of parts of a corpus; by: columns that tell tables apart."""
     both = results[0]
     for r in results[1:]:
         both = both.unionByName(r)
-    return both.groupBy("method").agg(*[F.sum(c).alias(c) for c in ("o11", "r1", "c1", "n", "inconsistent")])
+    return both.groupBy(*by, "method").agg(*[F.sum(c).alias(c) for c in ("o11", "r1", "c1", "n", "inconsistent")])

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dependra.plans.compiler import candidates, columns, edge_test, embeddings, extend
-from dependra.plans.pattern import LABELS, Pattern
+from dependra.plans.pattern import LABELS, Pattern, from_adjacency
+from dependra.sources import formats
 from dependra.sources.corpus import Corpus
 
 
@@ -18,6 +19,11 @@ def subsumed(corpus: Corpus, pattern: Pattern) -> DataFrame:
     return embeddings(corpus, pattern).select("sentence_id").distinct()
 
 
+def matrix_embeddings(matrices: DataFrame, query: list[list[dict]]) -> DataFrame:
+    """(sentence_id, m0, m1, ...): embeddings of an adjacency matrix in each of matrices (sentence_id, matrix)."""
+    return embeddings(formats.from_adjacency(matrices), from_adjacency(query))
+
+
 def rooted(corpus: Corpus, pattern: Pattern, focus: int) -> DataFrame:
     """(sentence_id, focus): the tokens that the focus can be."""
     return embeddings(corpus, pattern).select("sentence_id", F.col(f"m{focus}").alias("focus")).distinct()

@@ -13,7 +13,7 @@ from dependra.operators import collexemes as col
 from dependra.operators import counting as cnt
 from dependra.operators import graphs, match, structures
 from dependra.plans import compiler
-from dependra.plans.pattern import Pattern, parse, split_association
+from dependra.plans.pattern import MARKS, Pattern, parse, skeletize, split_association, to_adjacency
 from dependra.sources import formats
 from dependra.sources.corpus import Corpus
 from dependra.sources.treebank import treebank
@@ -299,6 +299,51 @@ def _association_tsv(spark, sf_dir):
     return spark.read.schema(rows.schema).csv(path, sep="\t", header=True)
 
 
+def _stored(spark, sf_dir):
+    """The treebank written as a database and opened again."""
+    bank = treebank(spark, sf_dir)
+    return Corpus.read(spark, _files(spark, bank.write))
+
+
+def _gzipped(spark, sf_dir):
+    text = formats.to_conllu(treebank(spark, sf_dir)).selectExpr("concat(value, '\n') value")
+    path = _files(spark, lambda p: text.write.option("compression", "gzip").text(p))
+    return _with_names(formats.read_conllu(spark, path), formats.conllu_corpus).tokens.select("sentence_id", "position", "word", "lemma", "wc", "pos", "root")
+
+
+def _ignored(spark, sf_dir):
+    """Items inserted twice, the second time with other counts and more items: the first stay."""
+    rows = treebank(spark, sf_dir).tokens.groupBy("lemma").agg(F.count("*").alias("n"))
+
+    def write(path):
+        formats.insert_ignore(rows.where("lemma < 'm'"), path, ["lemma"])
+        formats.insert_ignore(rows.withColumn("n", -F.col("n")), path, ["lemma"])
+
+    return spark.read.schema(rows.schema).parquet(_files(spark, write))
+
+
+def _tsv(spark, rows):
+    path = _files(spark, lambda p: formats.write_tsv(rows, p))
+    return spark.read.schema(rows.schema).csv(path, sep="\t", header=True)
+
+
+def _merged(corpus, queries: dict):
+    """Tables of the parts with even and with odd numbers, added up."""
+    parts = []
+    for name, q in queries.items():
+        for k in (0, 1):
+            half = Corpus(*(t.where(f"sentence_id % 2 = {k}") for t in (corpus.tokens, corpus.dependencies)))
+            parts.append(cnt.contingency_of(half, split_association(q)).withColumn("query", F.lit(name)))
+    return cnt.merge(*parts, by=("query",))
+
+
+def _facts(spark, sf_dir):
+    """What patterns are known by before they run."""
+    some = {"obj": OBJ, "path": PATH, "two_amod": TWO_AMOD, "branched": BRANCHED, "shape": SHAPE, "crossed": Pattern(({}, {}, {}, {}), ((0, 1, {}), (2, 1, {}), (2, 3, {})))}
+    rows = [(k, -1 if p.focus_point() is None else p.focus_point(), len(p.star_centers()), p.is_star(), p.without(*MARKS).is_purely_structural(), len(skeletize(p).edges)) for k, p in some.items()]
+    return spark.createDataFrame(rows, "pattern string, focus int, centers int, star boolean, structural boolean, edges int")
+
+
 def _with_names(rows, make):
     """The corpus with the numbers that its sentences are named by."""
     c = make(rows.withColumn("ord", F.expr("try_cast(original_id as long)")))
@@ -408,6 +453,20 @@ QUERIES = {
     "wordclass_mapping": lambda s, d: _tagged(s, d).select("id", tags.word_class(F.col("tag")).alias("wc")),
     "conllu_parse": _conllu_lines,
     "cwb_parse": _cwb_read,
+    "db_open": lambda s, d: _stored(s, d).tokens,
+    "gzip_input": _gzipped,
+    "insert_ignore": _ignored,
+    "collexeme_tsv": lambda s, d: _tsv(s, col.collexemes(treebank(s, d), COLLEXEME, digits=_R)),
+    "covarying_tsv": lambda s, d: _tsv(s, col.covarying(treebank(s, d), COVARYING, digits=_R)),
+    "larger_structure_tsv": lambda s, d: _tsv(s, _larger_signatures(treebank(s, d))),
+    "merged_parts": _bank(lambda c: _merged(c, {"association": ASSOCIATION, "inconsistent": INCONSISTENT})),
+    "pattern_facts": _facts,
+    "skeleton_match": _bank(lambda c: compiler.embeddings(c, skeletize(PATH))),
+    "matrix_match": _bank(lambda c: match.matrix_embeddings(formats.to_adjacency(c), to_adjacency(TWO_AMOD))),
+    "edge_list": _bank(lambda c: formats.to_edge_list(c)),
+    "edge_list_roundtrip": _bank(lambda c: formats.from_edge_list(formats.to_edge_list(c))),
+    "bracket_mapping": lambda s, d: s.read.parquet(f"{d}/part.parquet").selectExpr("cast(p_partkey as long) id", "element_at(array('-LRB-', '-RRB-', '-LSB-', '-RSB-', '-LCB-', '-RCB-', '(', 'x'), cast(p_partkey % 8 + 1 as int)) form").withColumn("form", tags.brackets(F.col("form"))),
+    "batched": _bank(lambda c: formats.batched(c.tokens.select("sentence_id").distinct(), "sentence_id", 100)),
     "corenlp_json": _corenlp_json,
     "corenlp_xml": _corenlp_xml,
     "association_tsv": _association_tsv,
@@ -529,6 +588,17 @@ from d x join d y on y.sentence_id = x.sentence_id and (x.governor, x.dependent)
   when tag in ('EX', 'WDT') then 'PRON' when tag = 'NFP' then 'PUNC' when tag = 'NN' then 'SUBST' when tag = 'VBZ' then 'VERB' else 'UNKNOWN' end wc from b""",
     "conllu_parse": f"{TREE} select * from d",
     "cwb_parse": f"{TREE} select * from d",
+    "db_open": f"{TREE} select sentence_id, position, word, pos, lemma, wc, indegree, outdegree, root from t",
+    "gzip_input": f"{TREE} select sentence_id, position, word, lemma, wc, pos, root from t",
+    "insert_ignore": f"{TREE} select lemma, case when lemma < 'm' then count(*) else -count(*) end n from t group by lemma",
+    "merged_parts": " union all ".join(f"select '{k}' as query, * exclude (log_likelihood, t_score, dice) from ({_association_sql(f)})" for k, f in (("association", _ASS_FLAGS), ("inconsistent", _INC_FLAGS))),
+    # By hand, from the drawings of the patterns.
+    "pattern_facts": "select * from (values ('obj', 0, 2, true, false, 1), ('path', 0, 1, true, false, 2), ('two_amod', 0, 1, true, false, 2), ('branched', 0, 0, false, false, 4), ('shape', 0, 1, true, true, 2), ('crossed', -1, 0, false, true, 3)) v(pattern, focus, centers, star, structural, edges)",
+    "skeleton_match": f"{TREE} select x.sentence_id, x.governor m0, x.dependent m1, y.dependent m2 from d x join d y on y.sentence_id = x.sentence_id and y.governor = x.dependent where x.governor <> y.dependent",
+    "edge_list": f"""{TREE} select t.sentence_id, '[' || coalesce(string_agg('[' || governor || ', ' || dependent || ', "' || relation || '"]', ', ' order by governor, dependent), '') || ']' edges from (select distinct sentence_id from t) t left join d on d.sentence_id = t.sentence_id group by t.sentence_id""",
+    "edge_list_roundtrip": f"{TREE} select * from d",
+    "bracket_mapping": "select p_partkey::bigint id, (['(', ')', '[', ']', '{', '}', '(', 'x'])[(p_partkey % 8 + 1)::int] form from part",
+    "batched": f"{TREE} select sentence_id, (row_number() over (order by sentence_id) - 1) // 100 batch from (select distinct sentence_id from t)",
     "adjacency_roundtrip": f"{TREE} select * from d",
     "association_tsv": f"select 1 query_number, " + ", ".join(f"max({x}) filter (method = '{m}') {m}_{x}" for m in cnt.METHODS for x in ("o11", "r1", "c1", "n", "inconsistent", "log_likelihood", "t_score", "dice")) + f" from ({_association_sql(_ASS_FLAGS)})",
     "chemical_export": f"""{TREE}, k as (select sentence_id, position, dense_rank() over (order by word, pos, lemma, wc) id from t), e as (select *, dense_rank() over (order by relation) id from d),
@@ -563,3 +633,4 @@ w as (select lo, hi, case when hi <= lo + 3 then 1 else ceil((hi - lo + 1) / 4.0
 select floor((size - lo) / width)::bigint bin, count(*) n from z, w group by all""",
     **{f"measure_{m}": f"{TREE} select lemma, round({x}, {_R}) + 0::double {m} from ({_CELLS} from ({_COLLEX_ROWS}))" for m, x in MEASURE_SQL.items()},
 }
+ORACLES |= {f"{k}_tsv": ORACLES[q] for k, q in (("collexeme", "collexemes"), ("covarying", "covarying"), ("larger_structure", "larger_structures"))} | {"matrix_match": ORACLES["match_star3"]}

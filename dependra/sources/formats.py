@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from dependra.functions import tags
-from dependra.sources.corpus import Corpus, build
+from dependra.sources.corpus import TOKENS, Corpus, build, with_degrees
 
 # ---------------------------------------------------------------- places over a whole table
 
@@ -345,7 +345,22 @@ def from_adjacency(rows: DataFrame) -> Corpus:
     tokens = rows.select("sentence_id", F.posexplode("matrix").alias("position", "row")).select("sentence_id", "position", F.expr("row[position]").alias("m"))
     tokens = tokens.select("sentence_id", "position", *[get(k).alias(k) for k in ("word", "pos", "lemma", "wc")], (F.coalesce(get("root"), F.lit("")) == "root").alias("root"))
     deps = cells.where("i <> j").select("sentence_id", F.col("i").alias("governor"), F.col("j").alias("dependent"), get("relation").alias("relation"))
-    return build(tokens, deps)
+    # Vertices keep their numbers, unconnected ones too.
+    return Corpus(with_degrees(tokens, deps).select(*[f.split()[0] for f in TOKENS.split(", ")]), deps)
+
+
+def to_edge_list(corpus: Corpus) -> DataFrame:
+    """(sentence_id, edges): a JSON list of [governor, dependent, relation] in order."""
+    edge = F.expr("array_join(transform(dependencies, d -> concat('[', d.governor, ', ', d.dependent, ', ', substring(to_json(array(d.relation)), 2))), ', ')")
+    return corpus.graphs().select("sentence_id", F.concat(F.lit("["), edge, F.lit("]")).alias("edges"))
+
+
+def from_edge_list(rows: DataFrame) -> DataFrame:
+    """(sentence_id, governor, dependent, relation)."""
+    e = rows.select("sentence_id", F.explode(F.from_json("edges", "array<array<string>>")).alias("e"))
+    return e.selectExpr("sentence_id", "cast(e[0] as int) governor", "cast(e[1] as int) dependent", "e[2] relation")
+
+
 
 
 # ---------------------------------------------------------------- results

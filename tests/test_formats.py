@@ -175,3 +175,10 @@ def test_sentences_over_block_ends(spark, tmp_path, size):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert got == want
+
+
+def test_bernoulli_sample(spark):
+    rows = spark.range(20000)
+    n = formats.sampled(rows, 0.25, 3).count()
+    assert 4600 < n < 5400 and formats.sampled(rows, 0.25, 3).count() == n
+    assert formats.sampled(rows, 0.0, 3).count() == 0 and formats.sampled(rows, 1.0, 3).count() == 20000
