@@ -134,7 +134,7 @@ def with_extension(corpus: Corpus, found: DataFrame, base: Pattern, larger: Patt
     at = {vid: own[i] for i, vid in enumerate(base.vids)}
     names = [at.get(vid, f"x{vid}") for vid in larger.vids]
     bound = tuple(x for x in own if x in names)
-    hits = extend(corpus, larger, names, found.select("sentence_id", *own).distinct(), bound, tuple(own) if keep_outside else ())
+    hits = extend(corpus, larger, names, found.select("sentence_id", *own), bound, tuple(own) if keep_outside else ())
     hits = hits.select("sentence_id", *own).distinct().withColumn(flag, F.lit(True))
     return found.join(hits, ["sentence_id", *own], "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
 

@@ -50,6 +50,16 @@ def random_treebank(spark: SparkSession, n: int, vocabulary: int = 100, relation
     return Corpus(with_degrees(tokens, deps).select("sentence_id", "position", "word", "pos", "lemma", "wc", "indegree", "outdegree", "root"), deps)
 
 
+def near_treebank(trees: Corpus, share: float = 0.1, relation: str = "extra", seed: int = 0) -> Corpus:
+    """Trees with further edges: a token gets one with the chance `share`, from a token before it that isn't its governor or dependent yet."""
+    u, v = _u(seed, "sentence_id", "position"), _u(seed + 1, "sentence_id", "position")
+    some = trees.tokens.where(f"position > 0 and {u} < {share}D").selectExpr("sentence_id", f"cast(floor({v} * position) as int) governor", "position dependent", f"'{relation}' relation")
+    taken = trees.dependencies.select("sentence_id", F.least("governor", "dependent").alias("governor"), F.greatest("governor", "dependent").alias("dependent"))
+    deps = trees.dependencies.unionByName(some.join(taken, ["sentence_id", "governor", "dependent"], "left_anti").select(*trees.dependencies.columns))
+    tokens = with_degrees(trees.tokens.drop("indegree", "outdegree"), deps)
+    return Corpus(tokens.select(*trees.tokens.columns), deps)
+
+
 def split_tree(tree: Pattern, seed: int = 0) -> tuple[Pattern, Pattern, Pattern, Pattern, Pattern]:
     """A tree cut at a random edge: A, B, and over the whole tree R1 (A's labels), C1 (B's) and N (none)."""
     rng = random.Random(seed)

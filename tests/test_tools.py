@@ -76,3 +76,17 @@ def test_streaming(spark, bank, tmp_path):
     held = ingest.ingested(spark, str(tmp_path / "out"))
     assert compiler.embeddings(held, q.n).count() == want["embeddings"][4]
     assert isinstance(held, Corpus)
+
+
+def test_near_trees(spark):
+    from dependra.sources.generate import near_treebank, random_treebank
+
+    trees = random_treebank(spark, 300, seed=3)
+    near = near_treebank(trees, 0.5, seed=4)
+    extra = near.dependencies.where("relation = 'extra'")
+    n = trees.tokens.where("position > 0").count()
+    assert 0.1 * n < extra.count() < 0.5 * n and extra.where("governor >= dependent").count() == 0
+    assert near.dependencies.groupBy("sentence_id", "governor", "dependent").count().where("count > 1").count() == 0
+    assert near.dependencies.where("relation <> 'extra'").count() == trees.dependencies.count() == n
+    assert near.tokens.agg({"indegree": "sum"}).first()[0] == near.dependencies.count()
+    assert near_treebank(trees, 0.0).dependencies.count() == n
