@@ -62,10 +62,10 @@ def graph_key(vertices: list[int], labels: dict[int, dict], edges: list[tuple[in
     """Node-link JSON of the graph in canonical order, and that order. memo: results for graphs equal but for their ids."""
     at = {v: i for i, v in enumerate(vertices)}
     text = lambda d: json.dumps(d, sort_keys=True, ensure_ascii=False) if d else "{}"
-    graph = (tuple(text(labels[v]) for v in vertices), tuple((at[s], at[t], text(e)) for s, t, e in edges))
+    graph = (tuple(tuple(labels[v].items()) for v in vertices), tuple((at[s], at[t], *e.items()) for s, t, e in edges)) if memo is not None else None
     found = memo.get(graph) if memo is not None else None
     if found is None:
-        order = canonical_order(list(graph[0]), list(graph[1]))
+        order = canonical_order([text(labels[v]) for v in vertices], [(at[s], at[t], text(e)) for s, t, e in edges])
         place = {v: i for i, v in enumerate(order)}
         nodes = [{"id": place[i], **labels[v]} for i, v in enumerate(vertices)]
         links = [{"source": place[at[s]], "target": place[at[t]], **e} for s, t, e in edges]

@@ -82,7 +82,11 @@ def with_degrees(tokens: DataFrame, dependencies: DataFrame) -> DataFrame:
 
 def build(tokens: DataFrame, dependencies: DataFrame) -> Corpus:
     """From tokens (sentence_id, position, word, pos, lemma, wc, root) and dependencies: unconnected tokens that aren't roots go,
-    positions become consecutive, degrees are added."""
+    positions become consecutive, degrees are added. Both are dealt by sentence once, which all joins and windows here share."""
+    spark = tokens.sparkSession
+    spark.conf.set(SUBSET_KEYS, "false")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tokens, dependencies = tokens.repartition(n, "sentence_id"), dependencies.repartition(n, "sentence_id")
     ends = dependencies.select("sentence_id", F.explode(F.array("governor", "dependent")).alias("position")).distinct().withColumn("linked", F.lit(True))
     kept = tokens.join(ends, ["sentence_id", "position"], "left").where("root or linked").drop("linked")
     kept = kept.withColumn("at", F.expr("cast(row_number() over (partition by sentence_id order by position) - 1 as int)"))

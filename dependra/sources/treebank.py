@@ -16,21 +16,22 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate", "l_returnflag", "l_linestatus")
     part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name", "p_size")
+    # Joined before the window, whose dealing by sentence then lasts for all that follows.
     order = "l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate, l_returnflag, l_linestatus"
-    placed = line.withColumn("position", F.expr(f"cast(row_number() over (partition by l_orderkey order by {order}) - 1 as int)"))
-    return placed.join(part, F.expr("l_partkey = p_partkey"))
+    rows = line.join(part, F.expr("l_partkey = p_partkey")).withColumn("sentence_id", F.col("l_orderkey").cast("long"))
+    return rows.withColumn("position", F.expr(f"cast(row_number() over (partition by sentence_id order by {order}) - 1 as int)"))
 
 
 def derive(rows: DataFrame, raw: bool = False) -> tuple[DataFrame, DataFrame]:
     """Token rows without degrees, and dependency rows; raw: without the edges to highly taxed items."""
     tokens = rows.selectExpr(
-        "cast(l_orderkey as long) sentence_id", "position", "concat(p_name, '/', l_linestatus) word", "l_linestatus pos", "p_name lemma",
+        "sentence_id", "position", "concat(p_name, '/', l_linestatus) word", "l_linestatus pos", "p_name lemma",
         "case l_returnflag when 'R' then 'VERB' when 'A' then 'NOUN' when 'N' then 'ADJ' end wc", "position = 0 root")
     edges = """concat(
         array(named_struct('governor', (position - 1) div 2, 'relation', element_at(array('obj', 'iobj', 'obl', 'det', 'nmod', 'amod'), cast(p_size % 6 + 1 as int)))),
         if(position >= 5 and position % 2 = 1 and l_quantity >= 40, array(named_struct('governor', cast(position - 2 as long), 'relation', 'conj')), array()))"""
     kept = rows.where("position > 0" + (" and l_tax < 0.08" if raw else ""))
-    deps = kept.selectExpr("cast(l_orderkey as long) sentence_id", "position dependent", f"inline({edges})")
+    deps = kept.selectExpr("sentence_id", "position dependent", f"inline({edges})")
     return tokens, deps.selectExpr("sentence_id", "cast(governor as int) governor", "dependent", "relation")
 
 

@@ -60,7 +60,7 @@ CONLLU = """# sent_id = a
 """
 
 
-@pytest.mark.parametrize("make", [lambda t: t, lambda t: t.replace("\n\n", "\r\n \n"), lambda t: t.replace("\n", "\r\n"), lambda t: "\n\n" + t.replace("# sent_id = a", "#sent_id=a").replace("\n\n", "\n\t \n\n") + "\n\n\n"])
+@pytest.mark.parametrize("make", [lambda t: t, lambda t: "\n\n" + t.replace("# sent_id = a", "#sent_id=a").replace("\n\n", "\r\n\t \n\r\n") + "\r\n \n\n"])
 def test_conllu(spark, tmp_path, make):
     (tmp_path / "x.conllu").write_bytes(make(CONLLU).encode())
     c = formats.conllu_corpus(formats.read_conllu(spark, str(tmp_path / "x.conllu")))
